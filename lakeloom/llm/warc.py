@@ -32,7 +32,7 @@ LEAST = 1000
 #: Lines in a block of the index.
 BLOCK = 256
 NAMES = uuid.UUID("6f0c2b52-6c55-4c0f-9d5d-0f3e8f1d4c11")
-FOOTER = struct.Struct("<QQ8s")
+FOOTER = "<QQ8s"
 MARK = b"CAPIDX01"
 
 
@@ -236,7 +236,7 @@ def index(manifest: DataFrame, folder: str) -> DataFrame:
         if lines:
             flush()
         data = zlib.compress(json.dumps(directory).encode(), 3)
-        out.write(data + FOOTER.pack(at, len(data), MARK))
+        out.write(data + struct.pack(FOOTER, at, len(data), MARK))
         out.close()
         yield _batch([[first], [uri], [n]], _arrow(SHARD))
 
@@ -258,7 +258,7 @@ class Index:
         if self.known[0] != shard:
             uri = self.shards[shard][1]
             end = self.files.size(uri)
-            offset, length, mark = FOOTER.unpack(self.files.range(uri, end - FOOTER.size, FOOTER.size))
+            offset, length, mark = struct.unpack(FOOTER, self.files.range(uri, end - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
             if mark != MARK:
                 raise ValueError(f"{uri} isn't a shard of the index")
             rows = json.loads(zlib.decompress(self.files.range(uri, offset, length)))
