@@ -132,7 +132,7 @@ def _create(folder: str, suffix: str):  # noqa: ANN202
     uri = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}{suffix}"
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return uri, system.open_output_stream(path)
+    return uri, system.open_output_stream(path, compression=None)
 
 
 def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
