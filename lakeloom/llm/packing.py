@@ -23,8 +23,8 @@ from lakeloom.llm.common import over_texts, table, written
 CAPACITY, GRAIN, END = 4096, 16, 2
 #: Sequences whose free places one task fills from the documents held back for them.
 GROUP = 256
-#: Documents in each bucket within which ranks are counted, about.
-BUCKET = 20_000
+#: Documents in each bucket within which ranks are counted, about, until there are BUCKETS of them.
+BUCKET, BUCKETS = 1_000, 20_000
 VOCABULARY = "word_bpe_49k.json"
 BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -35,6 +35,10 @@ def tokenizer_path() -> str:
 
     return public_tokenizers.path(VOCABULARY)
 
+#: The characters by which byte-level vocabularies name bytes: printable ones themselves, the others from 256 on.
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _shown)}
+
 
 class Encoder(dict):
     """Chunk between blanks -> its token ids as little-endian 32-bit numbers.
@@ -43,7 +47,7 @@ class Encoder(dict):
     chunks met most are encoded once. At most `limit` are remembered in each of two generations.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -61,10 +65,13 @@ class Encoder(dict):
         return out
 
     def _encode(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ",.;:!?|" and chunk[:-1].isalpha():
+        if len(chunk) > 1 and chunk[-1] in ",.;:!?|" and chunk[:-1].lower().isalpha():
             return self[chunk[:-1]] + self[chunk[-1]]
-        if "A" <= chunk[0] and max(chunk) < "Ā" and chunk.isalpha() and (low := chunk.lower()) != chunk:
-            return self[low]
+        if max(chunk) < "Ā" and chunk.isalpha():  # letters that the normaliser leaves alone but for their case
+            if (low := chunk.lower()) != chunk:
+                return self[low]
+            named = chunk.encode().decode("latin-1").translate(BYTES)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(named)], "<u4").tobytes()
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
@@ -278,7 +285,7 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     free = pieces.where(_unit(1) >= share)
     histogram, tokens = _histogram(free)
-    buckets = max(1, sum(histogram.values()) // BUCKET)
+    buckets = min(BUCKETS, max(1, sum(histogram.values()) // BUCKET))
     places = Places(plan(histogram))
     groups = max(1, -(-places.sequences // GROUP), int(share * sum(histogram.values()) / GROUP / 16))
 
