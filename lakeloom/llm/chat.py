@@ -15,61 +15,83 @@ BLOCK = 128
 SEEDS = (17, 71)
 
 
-def _xor_before(c: str, w: Window) -> Column:
-    return F.coalesce(F.bit_xor(c).over(w), F.lit(0).cast("long"))
+KEY = ["conv_id", "block"]
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text), no two rows alike, with pos, n and the rolling hashes h1, h2 of the prefix.
+def numbered(turns: DataFrame) -> DataFrame:
+    """The distinct turns (conv_id, turn, role, text) with block, k (the place in the block, from 1) and d1, d2.
 
-    pos counts the turns of a conversation by (turn, role, text), nulls first, from 1; n is their number. A turn's hash
-    covers its position, role and text, and a prefix's is the exclusive or of those, so it goes on from block to block
-    without having a whole conversation in one task. Two conversations begin alike as far as their hashes agree.
+    A turn's place goes by (turn, role, text), nulls first. d1 and d2 are hashes of role and text: all that follows up
+    to rendering reads these numbers and leaves the texts where they are written.
     """
-    by_block = Window.partitionBy("conv_id", "block")
-    order = by_block.orderBy("turn", "role", "text")
-    blocked = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    local = blocked.withColumn("k", F.row_number().over(order))
-    counts = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("m"))
+    blocked = turns.select("conv_id", "turn", "role", "text").distinct().withColumn(
+        "block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))
+    )
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("turn", "role", "text"))
+    nulls = F.concat(F.col("role").isNull().cast("int"), F.col("text").isNull().cast("int"))
+    marks = {f"d{i}": F.xxhash64(F.lit(seed), "role", "text", nulls) for i, seed in enumerate(SEEDS, 1)}
+    return written(blocked.withColumn("k", place).withColumns(marks), "turns")
+
+
+def _same(left: str = "conv_id") -> Column:
+    return F.col(left).eqNullSafe(F.col("__c")) & (F.col("block") == F.col("__b"))
+
+
+def offsets(numbers: DataFrame) -> DataFrame:
+    """(__c, __b, base, n): for each block of a conversation the turns before it, and the turns in all."""
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("conv_id")
-    counts = counts.select(
+    counts = numbers.groupBy(*KEY).agg(F.count("*").alias("m"))
+    return counts.select(
         F.col("conv_id").alias("__c"), F.col("block").alias("__b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"),
-        F.sum("m").over(every).alias("n"),
+        F.sum("m").over(Window.partitionBy("conv_id")).alias("n"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("block") == F.col("__b"))
-    placed = local.join(counts, same).withColumn("pos", F.col("k") + F.col("base")).drop("__c", "__b", "k", "base")
-    for i, seed in enumerate(SEEDS, 1):
-        nulls = F.concat(F.col("role").isNull().cast("int"), F.col("text").isNull().cast("int"))
-        placed = placed.withColumn(f"t{i}", F.xxhash64(F.lit(seed), "pos", "role", "text", nulls))
-    placed = written(placed, "turns")
-    sums = placed.groupBy("conv_id", "block").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
+
+
+def prefixes(numbers: DataFrame, bases: DataFrame) -> DataFrame:
+    """(conv_id, pos, n, h1, h2) for every turn: the rolling hashes of the conversation up to it.
+
+    A turn's hash covers its position, role and text, and a prefix's is the exclusive or of those, so it goes on from
+    block to block without having a whole conversation in one task. Two conversations begin alike as far as their
+    hashes agree.
+    """
+    placed = numbers.select(*KEY, "k", "d1", "d2").join(bases, _same()).select(*KEY, "n", (F.col("k") + F.col("base")).alias("pos"), "d1", "d2")
+    for h in ("d1", "d2"):
+        placed = placed.withColumn(h, F.xxhash64("pos", h))
+    placed = written(placed, "placed")
+    sums = placed.groupBy(*KEY).agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
     sums = sums.select(
-        F.col("conv_id").alias("__c"), F.col("block").alias("__b"), _xor_before("s1", before).alias("b1"), _xor_before("s2", before).alias("b2")
-    )
-    rolling = by_block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = placed.withColumn("h1", F.bit_xor("t1").over(rolling)).withColumn("h2", F.bit_xor("t2").over(rolling))
-    return (
-        rolled.join(sums, same).withColumn("h1", F.col("h1").bitwiseXOR(F.col("b1"))).withColumn("h2", F.col("h2").bitwiseXOR(F.col("b2")))
-        .drop("__c", "__b", "b1", "b2", "t1", "t2")
+        F.col("conv_id").alias("__c"), F.col("block").alias("__b"), F.coalesce(F.bit_xor("d1").over(before), none).alias("b1"),
+        F.coalesce(F.bit_xor("d2").over(before), none).alias("b2"),
+    )
+    rolling = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = placed.withColumns({"h1": F.bit_xor("d1").over(rolling), "h2": F.bit_xor("d2").over(rolling)})
+    return rolled.join(sums, _same()).select(
+        "conv_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"),
+        F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"),
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """The turns of the conversations that no other one continues, with n_copies, how often each was logged in full.
+    """The turns of the conversations that no other one continues: conv_id, turn, role, text, pos, n and n_copies.
 
-    Of equal conversations the one with the least conv_id stays (null ids last). Prefixes and full conversations are
-    reduced to distinct hashes before they are joined, so that a first turn that opens a third of the log is one row.
+    n_copies is how often the conversation was logged in full. Of equal conversations the one with the least conv_id
+    stays (a null id last). Prefixes and full conversations are reduced to distinct hashes before they are joined, so
+    that a first turn that opens a third of the log is one row.
     """
-    kept = [c for c in ("conv_id", "turn", "role", "text")]
-    rolled = written(prefixes(turns.select(*kept).distinct()), "prefixes")
+    numbers = numbered(turns)
+    bases = written(offsets(numbers), "offsets")
+    rolled = written(prefixes(numbers, bases), "prefixes")
     full = rolled.where("pos = n").groupBy("n", "h1", "h2").agg(
         F.min(F.struct(F.col("conv_id").isNull().alias("unnamed"), "conv_id")).alias("least"), F.count("*").alias("n_copies")
     )
-    inner = rolled.where("pos < n").select(F.col("pos").cast("long").alias("n"), "h1", "h2").distinct()
-    stay = full.withColumn("n", F.col("n").cast("long")).join(inner, ["n", "h1", "h2"], "left_anti")
-    stay = written(stay.select(F.col("least.conv_id").alias("__id"), "n_copies"), "maximal")
-    return rolled.join(stay, F.col("conv_id").eqNullSafe(F.col("__id"))).drop("__id", "h1", "h2")
+    inner = rolled.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
+    stay = full.join(inner, ["n", "h1", "h2"], "left_anti").select(F.col("least.conv_id").alias("__id"), "n_copies")
+    kept = written(bases.join(stay, F.col("__c").eqNullSafe(F.col("__id"))).drop("__id"), "maximal")
+    return numbers.join(kept, _same()).select(
+        "conv_id", "turn", "role", "text", (F.col("k") + F.col("base")).alias("pos"), "n", "n_copies"
+    )
 
 
 def rendered(turns: DataFrame, chunk: int = 512) -> DataFrame:
