@@ -31,6 +31,8 @@ from lakeloom.llm.common import new_path, over_texts, table, tune, written
 LEAST = 1000
 #: Lines in a block of the index.
 BLOCK = 256
+#: Bytes of the archive that one task reads back, about.
+PART_BYTES = 16 << 20
 NAMES = uuid.UUID("6f0c2b52-6c55-4c0f-9d5d-0f3e8f1d4c11")
 FOOTER = "<QQ8s"
 MARK = b"CAPIDX01"
@@ -292,11 +294,12 @@ class Index:
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def look_up(keys: DataFrame, shards: DataFrame, payload: bool = False) -> DataFrame:
+def look_up(keys: DataFrame, shards: DataFrame, payload: bool = False, parts: int | None = None) -> DataFrame:
     """The records of keys (key), read back through the index; each key once, all captures under it.
 
-    Keys are dealt in the index's order, so that a task reads few shards, each block once. The shards' first keys, one
-    for each task that wrote the index, go to every task.
+    Keys are dealt in the index's order, so that a task reads few shards, each block once; into `parts` if given, as
+    keys say nothing about the size of the records behind them. The shards' first keys, one for each task that wrote
+    the index, go to every task.
     """
     firsts = [(r["first"], r["file"]) for r in shards.select("first", "file").collect()]
     ddl = FOUND + ", payload binary" * payload
@@ -309,7 +312,8 @@ def look_up(keys: DataFrame, shards: DataFrame, payload: bool = False) -> DataFr
             rows = [parse(files.range(*where)) for k in batch.column(0).to_pylist() for where in found.find(k)]
             yield _batch([[r[n] for r in rows] for n in names], _arrow(ddl))
 
-    ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    parted = [parts] if parts else []
+    ordered = keys.select("key").distinct().repartitionByRange(*parted, "key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, ddl)
 
 
@@ -329,8 +333,10 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    shards = index(archive(pages, folder), folder)
-    return look_up(keys_of(pages), shards)
+    manifest = archive(pages, folder)
+    size = manifest.agg(F.sum("length")).first()[0] or 0
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)
+    return look_up(keys_of(pages), index(manifest, folder), parts=parts)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
