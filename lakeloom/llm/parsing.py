@@ -181,7 +181,7 @@ RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerp
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, fingerprint and the comparison with its edited text and the next document.
 
-    Next is the row that follows by descending doc_id (null ids last, ties by text), and after the last the first. A
+    Next is the row that follows by descending doc_id (null ids last, ties by a hash of the text), and after the last the first. A
     null text is empty. One row follows itself; an empty table gives an empty result; other columns are not read.
 
     The texts are dealt once, by ranges of doc_id, and read in order, so a row's successor is at hand; a task's last
@@ -221,8 +221,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             yield rows(blank([waiting[0]]), "last", [waiting[1]])
 
     out = StructType.fromDDL(schema)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges are drawn from samples that the driver holds, so they go by numbers alone.
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     made = written(dealt.mapInArrow(run, schema), "parsed")
     done = made.where("role = 'done'").select("doc_id", *[c.split()[0] for c in RESULT.split(", ")])
     # One row for each task, of numbers only, goes through the window; the texts are joined afterwards.
