@@ -26,7 +26,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v) of type long; root is the least node of the component.
+    """(node, root) for every node of edges (u, v) of type long but the roots; a root is the least of its component.
 
     Loops and repeated edges are allowed, nulls are not links. Each round is written to the shared folder, so the
     plan stays short and a lost executor costs one round at most. An empty edge table gives an empty result.

@@ -83,11 +83,12 @@ def host_verdicts(counted: DataFrame, strict: float = 0.3, blocked: float = 0.98
         moments += [F.sum(k).alias(k), F.sum(F.col(k) * F.col(k) / F.col("n_docs")).alias(f"{k}_sq")]
     total = hosts.agg(*moments).first()
     out = [F.col("host"), F.col("n_docs")]
+    n = total["n"] or 1
     for k in failed:
-        mean = (total[k] or 0) / total["n"] if total["n"] else 0.0
-        spread = max((total[f"{k}_sq"] or 0) / total["n"] - mean * mean, 1e-9) if total["n"] else 1.0
+        mean = (total[k] or 0) / n
+        spread = (total[f"{k}_sq"] or 0.0) / n - mean * mean
         # The hosts' spread holds binomial noise of about mean * (1 - mean) * hosts / n, which isn't the prior's.
-        spread = max(spread - mean * (1 - mean) * total["hosts"] / max(total["n"], 1), 1e-9)
+        spread = max(spread - mean * (1 - mean) * total["hosts"] / n, 1e-9)
         strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
         out.append(((F.col(k) + mean * strength) / (F.col("n_docs") + strength)).alias(f"{k}_rate"))
     rates = hosts.select(*out)

@@ -1,0 +1,183 @@
+"""SimHash, components, chat snapshots and fingerprints by parsing against brute force."""
+
+import hashlib
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lakeloom.llm import chat, components, parsing, simhash
+from lakeloom.llm.queries import ORACLES, QUERIES
+from tests.llm.helpers import awkward, docs, empty
+from tests.oracle import rows_of_frame, rows_of_sql
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_print(text):
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hs = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(prints):
+    root = {i: i for i in range(len(prints))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_fingerprints_match_brute_force():
+    rnd = random.Random(1)
+    for _ in range(200):
+        text = "".join(rnd.choice(["Ab ", "É", "c\x0b", "d e ", "\n", "🙂 "]) for _ in range(rnd.randint(0, 40)))
+        assert simhash.fingerprint(text.encode()) == brute_print(text)
+    assert simhash.fingerprint(None) == 0
+
+
+def test_links_match_brute_force_in_small_and_large_blocks(spark):
+    rnd = random.Random(7)
+    centre = rnd.getrandbits(64)
+    prints = {rnd.getrandbits(64) for _ in range(200)} | {centre}
+    for _ in range(260):  # a cloud of neighbours: large blocks
+        prints.add(centre ^ sum(1 << b for b in rnd.sample(range(40), rnd.randint(1, 3))))
+    prints |= {p ^ (1 << rnd.randrange(64)) ^ (1 << 63) for p in list(prints)[:60]} | {0, 1, 3, (1 << 64) - 1}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for pairwise in (4, 32, 10_000):
+        roots = {r.node: r.root for r in components.connected(simhash.links(frame, pairwise=pairwise)).collect()}
+        want = brute_components(prints)
+        groups: dict = {}
+        for s, w in zip(signed, want):
+            groups.setdefault(w, set()).add(roots.get(s, s))
+        assert all(len(g) == 1 for g in groups.values())
+        assert len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(300, 300), (400, 401), (401, 400), (None, 5)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 101)) and all(got[i] == 200 for i in range(201, 260))
+    assert not {0, 200, 300, 400} & got.keys() and got[401] == 400
+    assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates_of_a_table(spark):
+    rnd = random.Random(11)
+    base = [" ".join(rnd.choice("alpha beta gamma delta eps zeta eta theta".split()) + str(rnd.randrange(60)) for _ in range(200)) for _ in range(12)]
+    texts = base + base[:5] + [b + " end" for b in base[:4]] + [None, "", " ", "ab", "AB"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    prints = [brute_print(t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(prints)
+    kept = simhash.keep_one(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(prints)))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_duplicates_on_awkward_rows(spark):
+    got = simhash.near_duplicates(awkward(spark)).collect()
+    assert len(got) == 8
+    assert {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}  # texts without words are copies of each other
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+    kept = simhash.keep_one(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 6]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_their_sql(spark, name):
+    assert rows_of_frame(QUERIES[name](spark, SF)) == rows_of_sql(ORACLES[name], SF)
+
+
+def conversation(c, turns):
+    return [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(turns)]
+
+
+def test_snapshots_collapse(spark):
+    rows = conversation(1, "ab") + conversation(2, "abcd") + conversation(3, "abcd") + conversation(4, "abx") + conversation(5, "b") + conversation(6, ["a", None])
+    rows += [(7, 10, "user", "a"), (7, 12, "assistant", "b")]  # the same as 1 by order, whatever its numbers
+    rows += [(2, 3, "assistant", "d")]  # a repeated row is one turn
+    rows += [(None, 0, "user", "z"), (8, None, None, "q"), (8, 0, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n", "2 AS pos", "3 AS block")
+    got = {r.conv_id: r for r in chat.rendered(frame).collect()}
+    assert set(got) == {2, 4, 5, 6, None, 8}
+    assert got[2].n_copies == 2 and got[2].n_turns == 4
+    assert got[2].text == "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in zip(["user", "assistant"] * 2, "abcd"))
+    assert got[8].text == "<|unknown|>\nq\n<|end|>\n<|user|>\n\n<|end|>\n"
+    assert got[6].text == "<|user|>\na\n<|end|>\n<|assistant|>\n\n<|end|>\n"
+    assert chat.rendered(frame.limit(0)).count() == 0
+
+
+def test_long_conversations_span_blocks_and_chunks(spark):
+    words = [f"t{i}" for i in range(700)]
+    rows = conversation(1, words) + conversation(2, words[:650]) + conversation(3, [*words[:650], "other"])
+    got = chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.chunk, r.n_turns) for r in got) == [(1, 0, 700), (1, 1, 700), (3, 0, 651), (3, 1, 651)]
+    whole = "".join(r.text for r in sorted(got, key=lambda r: r.chunk) if r.conv_id == 1)
+    assert [x.split("\n")[1] for x in whole.split("<|end|>\n")[:-1]] == words
+
+
+def test_equal_stretches_get_equal_phrases():
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh  éñ") for _ in range(n))
+    shared = text(3000)
+    a, b, c = text(500) + shared, text(77) + shared, text(3500)
+    x, y, z = parsing.sketches([a, b, c])
+    assert parsing.likeness(x, y) > 0.5 and parsing.likeness(x, z) < 0.1
+    assert [parsing.sketches([t])[0] for t in (a, b, c)] == [x, y, z]  # the batch makes no difference
+
+
+def test_sketches_of_odd_texts():
+    odd = ["", "a", "aaaaaa", "ab", "abab" * 500, "🙂é", "a" * 5000, "\ud83d", "x y z"]
+    made = parsing.sketches(odd)
+    assert made == [parsing.sketches([t])[0] for t in odd]
+    assert len(set(made)) == len(odd)
+    assert parsing.likeness(made[0], made[1]) == 0 and parsing.likeness(made[0], made[0]) == 1
+
+
+def test_parsing_of_a_table_matches_brute_force(spark):
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("abc dé\n") for _ in range(rnd.choice([0, 1, 2, 7, 60, 900]))) for _ in range(40)] + [None]
+    got = {r.doc_id: r for r in parsing.fingerprinted(docs(spark, texts).repartition(7)).collect()}
+    order = list(range(len(texts) - 1, -1, -1))
+    clean = [t or "" for t in texts]
+    for k, i in enumerate(order):
+        following = clean[order[(k + 1) % len(order)]]
+        n = len(clean[i])
+        changed = clean[i][: n - n // 2] + following[: n // 2]
+        own, other, after = parsing.sketches([clean[i], changed, following])
+        assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, other)
+        assert got[i].near_edited == parsing.likeness(own, other) and got[i].near_next == parsing.likeness(own, after)
+
+
+def test_parsing_on_awkward_rows(spark):
+    assert parsing.fingerprinted(awkward(spark)).count() == 8
+    assert parsing.fingerprinted(empty(spark)).count() == 0
+    alone = parsing.fingerprinted(docs(spark, ["only one text here, quite alone"])).first()
+    assert alone.near_next == 1.0
+
+
+def test_no_python_in_native_plans(spark):
+    from lakeloom.llm import mixing
+
+    turns = spark.createDataFrame(conversation(1, "ab"), "conv_id long, turn long, role string, text string")
+    for df in (chat.rendered(turns), mixing.mixed(docs(spark, ["a b", "c"]))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert F is not None
