@@ -27,7 +27,8 @@ GROUP = 256
 BUCKET, BUCKETS = 1_000, 20_000
 VOCABULARY = "word_bpe_49k.json"
 BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD = re.compile("[\x1c-\x1f]")
+#: What Python takes for blanks and the vocabulary does not.
+ODD = frozenset("\x1c\x1d\x1e\x1f")
 
 
 def tokenizer_path() -> str:
@@ -41,10 +42,12 @@ BYTES = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in ra
 
 
 class Encoder(dict):
-    """Chunk between blanks -> its token ids as little-endian 32-bit numbers.
+    """Word in lower case -> its token ids as little-endian 32-bit numbers.
 
-    The vocabulary's rules never join anything across a blank, so a text's ids are those of its chunks in order; the
-    chunks met most are encoded once. At most `limit` are remembered in each of two generations.
+    The vocabulary's rules never join anything across a blank, so a text's ids are those of the chunks between blanks,
+    in order. Texts of Latin-1 characters go a short way: the normaliser changes nothing in them but case, and a word,
+    or a word and one mark after it, needs no rules to be split. Words are remembered, at most `limit` in each of two
+    generations. All other texts are encoded chunk by chunk by the tokenizer itself.
     """
 
     def __init__(self, path: str, limit: int = 250_000) -> None:
@@ -52,11 +55,35 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
+        self.others: dict[str, bytes] = {}
+        self.pieces = self.tokenizer.model.tokenize
+        self.named = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = {c: self.rules(c) for c in ",.;:!?|"}
+
+    def other(self, chunk: str) -> bytes:
+        out = self.others.get(chunk)
+        if out is None:
+            out = self.rules(chunk)
+            if len(self.others) >= self.limit:
+                self.others.clear()
+            if len(chunk) <= 64:
+                self.others[chunk] = out
+        return out
+
+    def rules(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:
-            out = self._encode(chunk)
+            if chunk.isalpha():
+                named = self.named
+                text = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTES)
+                out = b"".join([named[t.id] for t in self.pieces(text)])
+            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
+                return self[chunk[:-1]] + self.marks[chunk[-1]]
+            else:
+                out = self.rules(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
@@ -64,20 +91,19 @@ class Encoder(dict):
             self[chunk] = out
         return out
 
-    def _encode(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ",.;:!?|" and chunk[:-1].lower().isalpha():
-            return self[chunk[:-1]] + self[chunk[-1]]
-        if max(chunk) < "Ā" and chunk.isalpha():  # letters that the normaliser leaves alone but for their case
-            if (low := chunk.lower()) != chunk:
-                return self[low]
-            named = chunk.encode().decode("latin-1").translate(BYTES)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(named)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text, with END after them; null counts as empty."""
-        chunks = (BLANK.split(text) if ODD.search(text) else text.split()) if text else []
-        return b"".join([self[c] for c in chunks if c]) + END_BYTES
+        if not text:
+            return END_BYTES
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            short = False
+        else:  # names of special tokens are told from words by their case
+            short = "<|" not in text and not any(c in text for c in ODD)
+        if short:
+            return b"".join(map(self.__getitem__, text.lower().split())) + END_BYTES
+        return b"".join([self.other(c) for c in BLANK.split(text) if c]) + END_BYTES
 
 
 END_BYTES = np.array([END], "<u4").tobytes()
