@@ -132,5 +132,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "host_rate", F.col("verdict").alias("host_verdict"),
+        F.round("host_rate", 6).alias("host_rate"), F.col("verdict").alias("host_verdict"),
     )
+
+
+#: The whole of op3 in DuckDB's SQL.
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+i AS (SELECT rid, words, unnest(range(1, len(words) - 6)) AS k0 FROM w WHERE len(words) >= 8),
+v AS (SELECT rid, k0, count(*) OVER (PARTITION BY rid, array_to_string(words[k0 : k0 + 7], ' ')) AS n FROM i),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(k0, k0 + 8)) AS p FROM v WHERE n > 1) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS soft FROM c),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft) AS DOUBLE) AS x FROM f GROUP BY host),
+m AS (SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) AS sq, count(*) / sum(n) AS noise FROM h),
+s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq - mean * mean - mean * (1 - mean) * noise, 1e-9) - 1, 1), 1e6) AS strength FROM m),
+g AS (SELECT host, (x + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rate < 0.98 AND (rate < 0.3 OR NOT soft) AS kept, round(rate, 6) AS host_rate,
+  CASE WHEN rate >= 0.98 THEN 'blocked' WHEN rate >= 0.3 THEN 'strict' ELSE 'open' END AS host_verdict
+FROM f JOIN g ON f.host IS NOT DISTINCT FROM g.host
+"""

@@ -9,7 +9,7 @@ from lakeloom.llm.mixing import op7_mixing
 from lakeloom.llm.packing import op1_packing
 from lakeloom.llm.parsing import op8_fingerprints
 from lakeloom.llm.pii import op5_pii
-from lakeloom.llm.quality import op3_quality_rules
+from lakeloom.llm.quality import OP3_SQL, op3_quality_rules
 from lakeloom.llm.simhash import op6_simhash
 from lakeloom.llm.toxicity import op9_toxicity
 from lakeloom.llm.warc import OP4_SQL, op4_warc
@@ -27,6 +27,6 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_chat": OP2_SQL, "op4_warc": OP4_SQL}
+ORACLES = {"op2_chat": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
