@@ -57,21 +57,31 @@ FLAT = bytes(
 TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|me|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pt|mx|ar|br|cl|pe|ru|jp|cn|in|au|example|test|invalid|localhost"
 _digit = "|".join(sorted(SPELLED, key=len, reverse=True))
 _open, _close = r"[\[({<«]\s*", r"\s*[\])}>»]"
+_dot_word = r"(?:dot|punto|point|punkt)"
+_dot_mark = rf"\s*{_open}(?:{_dot_word}|\.){_close}\s*|\s*&(?:period|\#0*46|\#x0*2e);\s*"
 RULES = re.compile(
-    rf"(?P<at>\s*{_open}(?:at|@|arroba|chez){_close}\s*|\s*&#64;\s*|\s*%40\s*|(?<=\w)_at_(?=\w)"
-    rf"|(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:(?:\s+(?:dot|punto|point|punkt)\s+|\s*{_open}(?:dot|punto|point|punkt|\.){_close}\s*|\.)[\w-]+)*?(?:\s+(?:dot|punto|point|punkt)\s+|\s*{_open}(?:dot|punto|point|punkt|\.){_close}\s*)(?:{TOP})\b))"
-    rf"|(?P<dot>\s*{_open}(?:dot|punto|point|punkt|\.){_close}\s*|(?<=\w)_dot_(?=\w)|(?<=\w)\s+(?:dot|punto|point|punkt)\s+(?=\w))"
+    rf"(?P<at>\s*{_open}(?:at|@|arroba|chez){_close}\s*|\s*&(?:commat|\#0*64|\#x0*40);\s*|\s*%40\s*|(?<=\w)_at_(?=\w)|(?<=\w)\s+@\s*(?=\w)|(?<=\w)@\s+(?=\w)"
+    rf"|(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:(?:\s+{_dot_word}\s+|{_dot_mark}|\.)[\w-]+)*?(?:\s+{_dot_word}\s+|{_dot_mark})(?:{TOP})\b))"
+    rf"|(?P<named>(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:\.[\w-]+)*?\.(?:{TOP})\b))"
+    rf"|(?P<dot>{_dot_mark}|(?<=\w)_dot_(?=\w)|(?<=\w)\s+{_dot_word}\s+(?=\w)|(?<=\w)\s+\.\s*(?=(?:{TOP})\b))"
     rf"|(?P<plus>\bplus\s+(?=(?:(?:{_digit})\b|[0-9])))"
-    rf"|(?P<digit>\b(?:{_digit})\b)",
+    rf"|(?P<digit>\b(?:(?P<times>double|triple)\s+)?(?P<name>{_digit})\b)",
     re.IGNORECASE,
 )
-GAP = re.compile(r"[\s\-]+|,\s*")
-AT_DOT = re.compile(r"[\[({<«]\s*(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s*[\])}>»]|&#64;|%40|_at_|_dot_|\b(?:dot|punto|punkt)\b", re.IGNORECASE)
-MIXED = re.compile(r"[0-9][\x20-]?[OoIl]+[\x20-]?[0-9]|[0-9][\x20-]?[0-9OoIl]{3}[OoIl]\b")
-DIGIT_LOOK = re.compile(r"(?<=[0-9])[OoIl](?=[\x20-]?[0-9OoIl])|(?<=[0-9])[OoIl]+\b|(?<=[0-9][\x20-])[OoIl](?=[0-9OoIl])")
+#: Before a plain 'at' and a host with real dots: a name that prose wouldn't have, with a digit or a mark inside.
+NAMED = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*[0-9._%+-][A-Za-z0-9._%+-]*\Z")
+GAP = re.compile(r"[\s\-]+|,\s*|[\s,]+(?:dash|hyphen|minus)[\s,]+", re.IGNORECASE)
+AT_DOT = re.compile(
+    r"[\[({<«]\s*(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s*[\])}>»]|&(?:commat|period|\#0*(?:64|46)|\#x0*(?:40|2e));|%40|_at_|_dot_|\s@|@\s",
+    re.IGNORECASE,
+)
+AT_HOST = re.compile(r"\s(?:at|arroba)\s+[\w-]+(?:\.[\w-]+)+", re.IGNORECASE)
+#: Digits with letters that look like digits between or after them, but no letters of a word.
+DIGIT_LOOK = re.compile(r"(?<!\w)[0-9OoIl](?:[\x20().-]{0,2}[0-9OoIl])+(?!\w)")
 #: What a match of AT_DOT holds: one of these words, or else one of these bytes.
 DOTS = frozenset((b"dot", b"punto", b"punkt"))
-SIGNS = (b"[", b"(", b"{", b"<", "«".encode(), b"&#64;", b"%40", b"_")
+ATS = frozenset((b"at", b"arroba"))
+SIGNS = (b"[", b"(", b"{", b"<", "«".encode(), b"&", b"%40", b"_", b"@")
 Span = tuple[str, int, int]
 
 
@@ -144,10 +154,16 @@ class Rewritten:
         )
 
 
+def lookalike_runs(text: str) -> list[re.Match]:
+    """Runs mostly of digits, four or more, that hold letters in the place of some."""
+    found = [m for m in DIGIT_LOOK.finditer(text)] if DIGIT.search(text) else []
+    return [m for m in found if (n := len(DIGIT.findall(m[0]))) >= 4 and 0 < sum(map(m[0].count, "OoIl")) <= n]
+
+
 def characters(text: str) -> Rewritten:
     """First transducer: look-alikes to ASCII, any decimal digit to 0-9, invisible characters dropped."""
     made = Rewritten(text)
-    looks = {m.start() + k for m in DIGIT_LOOK.finditer(text) for k in range(len(m[0]))} if MIXED.search(text) else ()
+    looks = [m.start() + k for m in lookalike_runs(text) for k, c in enumerate(m[0]) if c in "OoIl"]
     for i in ([] if text.isascii() else [m.start() for m in re.finditer(r"[^\x00-\x7f]", text)]):
         c = text[i]
         if c in INVISIBLE:
@@ -161,7 +177,7 @@ def characters(text: str) -> Rewritten:
             if flat != c and flat.isascii():
                 made.put(i, i + 1, flat)
     if looks and not made.parts:
-        for i in sorted(looks):
+        for i in looks:
             made.put(i, i + 1, "0" if text[i] in "Oo" else "1")
     made.text = made.done()
     return made
@@ -175,13 +191,12 @@ def words(text: str) -> Rewritten:
         kind = m.lastgroup
         if kind == "digit":
             between = text[last : m.start()] if last >= 0 else ""
-            if last >= 0 and (not between or GAP.fullmatch(between)):
-                made.put(last, m.end(), SPELLED[m[0].lower()])
-            else:
-                made.put(m.start(), m.end(), SPELLED[m[0].lower()])
+            digits = SPELLED[m["name"].lower()] * {"d": 2, "t": 3}.get((m["times"] or " ")[0].lower(), 1)
+            joined = last >= 0 and (not between or GAP.fullmatch(between))
+            made.put(last if joined else m.start(), m.end(), digits)
             last = m.end()
-        else:
-            made.put(m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[kind])
+        elif kind != "named" or NAMED.search(text, max(0, m.start() - 64), m.start()):
+            made.put(m.start(), m.end(), {"at": "@", "named": "@", "dot": ".", "plus": "+"}[kind])
             last = m.end()
     made.text = made.done()
     return made
@@ -197,11 +212,14 @@ def suspicious(text: str, raw: bytes) -> bool:
         if "\xad" in text or "\xa0" in text:
             return True
     plain_words = raw.translate(FLAT).split()
-    if sum(map(TRIGGERS.__contains__, plain_words)) >= 2 or not DOTS.isdisjoint(plain_words):
+    spelled, digits = sum(map(TRIGGERS.__contains__, plain_words)), DIGIT.search(text)
+    if spelled >= 2 or (spelled and digits) or not DOTS.isdisjoint(plain_words):
         return True
     if any(x in raw for x in SIGNS) and AT_DOT.search(text):
         return True
-    return bool(DIGIT.search(text) and MIXED.search(text))
+    if not ATS.isdisjoint(plain_words) and AT_HOST.search(text):
+        return True
+    return bool(digits and lookalike_runs(text))
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:

@@ -92,6 +92,13 @@ DISGUISED = [
     ("one nine two dot one six eight dot one dot two five", "ip", "one nine two dot one six eight dot one dot two five"),
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
     ("+1 555 O12 3456", "phone", "+1 555 O12 3456"),
+    ("john dot doe at example dot com, he said", "email", "john dot doe at example dot com"),
+    ("ask j.doe42 at example.com today", "email", "j.doe42 at example.com"),
+    ("x jane @ example . com y", "email", "jane @ example . com"),
+    ("x jane&#64;example&#46;com y", "email", "jane&#64;example&#46;com"),
+    ("4lll 1111 1111 1111", "card", "4lll 1111 1111 1111"),
+    ("+1 555 123 456 seven", "phone", "+1 555 123 456 seven"),
+    ("plus one, double five five dash one two three four five six seven", "phone", "plus one, double five five dash one two three four five six seven"),
     ("mas cuatro cuatro dos cero siete plus cuatro cuatro dos cero siete nueve cuatro seis", "phone", "plus cuatro cuatro dos cero siete nueve cuatro seis"),
 ]
 
@@ -105,7 +112,17 @@ def test_disguises_map_back_to_the_source(text, kind, span, before):
     assert span not in pii.masked(text) and f"<{kind}>" in pii.masked(text)
 
 
-@pytest.mark.parametrize("text", ["look at polka dot dresses", "one two three, he said", "the point is at hand", "Straße été niño", "see section 1.2.3", "", None, "l'été à l'île at home dot", "5 dot 6"])
+@pytest.mark.parametrize("text", ["look at polka dot dresses", "one two three, he said", "the point is at hand", "Straße été niño", "see section 1.2.3", "", None, "l'été à l'île at home dot", "5 dot 6", "look at example.com now", "in 2010 Il vit 1000 Il", "at 5 @ home", "1234 5678 of Illinois 99"])
+def test_clean_texts_have_no_spans_at_all(text):
+    test_clean_texts_have_no_spans(text)
+
+
+@pytest.mark.parametrize("text", ["reea in +1 (988) 555-2485 orth", "at 4111 1111 1111 1111 Inst", "x@y.com olé", "10.0.0.1 of"])
+def test_plain_spans_are_not_widened(text):
+    assert pii.find(text)[1] == []
+
+
+@pytest.mark.parametrize("text", ["", None])
 def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == ([], [])
     assert pii.masked(text) == text
