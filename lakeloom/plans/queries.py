@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,6 +303,27 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clickstream.sessions(_events(spark, sf_dir)).select("customer_id", text("session_start"), text("session_end"), "events")
 
 
+def _work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a local session may use its own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+@_query("SELECT event_id, user_id AS customer_id, event_type FROM events", views=False)
+def events_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, each twice, de-duplicated under a watermark and written by one run of all that is there."""
+    raw = table(spark, sf_dir, "events")
+    work = _work_dir(spark, "events")
+    raw.unionByName(raw).write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{work}/in")
+    events = stream.select("event_id", F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").alias("customer_id"), "event_type")
+    once = clickstream.deduplicated(events, "3650 days").select("event_id", "customer_id", "event_type")
+    clickstream.write(once, f"{work}/out", f"{work}/state", once=True).awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{work}/out")
+
+
 @_query("""SELECT event_type, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, count(*) AS events FROM events GROUP BY ALL""", views=False)
 def events_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type", date_key(F.col("event_time")).alias("date_key")).agg(F.count("*").alias("events"))
