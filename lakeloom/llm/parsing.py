@@ -24,6 +24,8 @@ CELLS = 64
 #: Level from whose phrases on (about 25 characters and more) a fingerprint is made.
 FIRST = 3
 LEVELS = 24
+#: Characters that are parsed at once; the arrays take about a hundred bytes for each.
+SYMBOLS = 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = 0xFFFF
 
@@ -108,6 +110,18 @@ def levels(names: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def sketches(texts: list[str]) -> list[str]:
+    """A fingerprint for each text, made in batches of some SYMBOLS characters or one long text: see _sketches()."""
+    out: list[str] = []
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > SYMBOLS:
+            out += _sketches(texts[begin:i])
+            begin, size = i, 0
+        size += len(text)
+    return out + _sketches(texts[begin:])
+
+
+def _sketches(texts: list[str]) -> list[str]:
     """A fingerprint for each text: CELLS cells of four hex digits, the least hash in each cell or 'ffff' if empty.
 
     The names of the levels from FIRST on count; a text that has none there counts the names of all its levels, a

@@ -18,8 +18,9 @@ from lakeloom.llm.common import over_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match never starts inside a run of digits, as one at the run's start would have failed alike; saying so keeps long
+#: runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -56,11 +57,12 @@ FLAT = bytes(
 #: Last labels that make "name at host dot label", with no brackets, an address.
 TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|me|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pt|mx|ar|br|cl|pe|ru|jp|cn|in|au|example|test|invalid|localhost"
 _digit = "|".join(sorted(SPELLED, key=len, reverse=True))
-_open, _close = r"[\[({<«]\s*", r"\s*[\])}>»]"
+_open, _close = r"[\[({<«]\s{0,3}", r"\s{0,3}[\])}>»]"
 _dot_word = r"(?:dot|punto|point|punkt)"
-_dot_mark = rf"\s*{_open}(?:{_dot_word}|\.){_close}\s*|\s*&(?:period|\#0*46|\#x0*2e);\s*"
+_near = r"\s{0,3}"  # bounded, so that a long run of blanks isn't read from each of its places
+_dot_mark = rf"{_near}{_open}(?:{_dot_word}|\.){_close}{_near}|{_near}&(?:period|\#0{{0,4}}46|\#x0{{0,4}}2e);{_near}"
 RULES = re.compile(
-    rf"(?P<at>\s*{_open}(?:at|@|arroba|chez){_close}\s*|\s*&(?:commat|\#0*64|\#x0*40);\s*|\s*%40\s*|(?<=\w)_at_(?=\w)|(?<=\w)\s+@\s*(?=\w)|(?<=\w)@\s+(?=\w)"
+    rf"(?P<at>{_near}{_open}(?:at|@|arroba|chez){_close}{_near}|{_near}&(?:commat|\#0{{0,4}}64|\#x0{{0,4}}40);{_near}|{_near}%40{_near}|(?<=\w)_at_(?=\w)|(?<=\w)\s+@\s*(?=\w)|(?<=\w)@\s+(?=\w)"
     rf"|(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:(?:\s+{_dot_word}\s+|{_dot_mark}|\.)[\w-]+)*?(?:\s+{_dot_word}\s+|{_dot_mark})(?:{TOP})\b))"
     rf"|(?P<named>(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:\.[\w-]+)*?\.(?:{TOP})\b))"
     rf"|(?P<dot>{_dot_mark}|(?<=\w)_dot_(?=\w)|(?<=\w)\s+{_dot_word}\s+(?=\w)|(?<=\w)\s+\.\s*(?=(?:{TOP})\b))"
@@ -72,7 +74,7 @@ RULES = re.compile(
 NAMED = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*[0-9._%+-][A-Za-z0-9._%+-]*\Z")
 GAP = re.compile(r"[\s\-]+|,\s*|[\s,]+(?:dash|hyphen|minus)[\s,]+", re.IGNORECASE)
 AT_DOT = re.compile(
-    r"[\[({<«]\s*(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s*[\])}>»]|&(?:commat|period|\#0*(?:64|46)|\#x0*(?:40|2e));|%40|_at_|_dot_|\s@|@\s",
+    r"[\[({<«]\s{0,3}(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s{0,3}[\])}>»]|&(?:commat|period|\#0{0,4}(?:64|46)|\#x0{0,4}(?:40|2e));|%40|_at_|_dot_|\s@|@\s",
     re.IGNORECASE,
 )
 AT_HOST = re.compile(r"\s(?:at|arroba)\s+[\w-]+(?:\.[\w-]+)+", re.IGNORECASE)

@@ -128,6 +128,17 @@ def test_clean_texts_have_no_spans(text):
     assert pii.masked(text) == text
 
 
+@pytest.mark.parametrize("part", [" ", "1", "1 ", "+1", "1.", "a@", "@", "at ", "[", "dot ", "one ", "x.", "O1", "&", "(.", "+1 "])
+def test_long_runs_take_linear_time(part):
+    import time
+
+    text = "one [at] two dot com " + part * (60_000 // len(part)) + " 12 x"
+    began = time.perf_counter()
+    pii.masked(text)
+    licenses.scan(text.encode())
+    assert time.perf_counter() - began < 5
+
+
 def test_spans_of_a_table(spark):
     text = "a@b.c and +1 (555) 123-4567 and 10.0.0.1 and joe [at] x [dot] org"
     got = {r.doc_id: r for r in pii.spans(docs(spark, [text, None, "", "x " * 50000 + text])).collect()}
