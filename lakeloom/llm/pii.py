@@ -59,6 +59,7 @@ TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|me|eu|uk|us|ca|de|f
 _digit = "|".join(sorted(SPELLED, key=len, reverse=True))
 _open, _close = r"[\[({<«]\s{0,3}", r"\s{0,3}[\])}>»]"
 _dot_word = r"(?:dot|punto|point|punkt)"
+_thousands = r"[0-9]{1,3}(?:[\x20.,][0-9]{3})+(?![0-9])(?![\x20.-]{1,2}[0-9])"  # a number in groups of three is an amount
 _near = r"\s{0,3}"  # bounded, so that a long run of blanks isn't read from each of its places
 _dot_mark = rf"{_near}{_open}(?:{_dot_word}|\.){_close}{_near}|{_near}&(?:period|\#0{{0,4}}46|\#x0{{0,4}}2e);{_near}"
 RULES = re.compile(
@@ -66,12 +67,12 @@ RULES = re.compile(
     rf"|(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:(?:\s+{_dot_word}\s+|{_dot_mark}|\.)[\w-]+)*?(?:\s+{_dot_word}\s+|{_dot_mark})(?:{TOP})\b))"
     rf"|(?P<named>(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:\.[\w-]+)*?\.(?:{TOP})\b))"
     rf"|(?P<dot>{_dot_mark}|(?<=\w)_dot_(?=\w)|(?<=\w)\s+{_dot_word}\s+(?=\w)|(?<=\w)\s+\.\s*(?=(?:{TOP})\b))"
-    rf"|(?P<plus>\bplus\s+(?=(?:(?:{_digit})\b|[0-9])))"
+    rf"|(?P<plus>\bplus\s+(?=(?:(?:{_digit})\b|(?!{_thousands})[0-9])))"
     rf"|(?P<digit>\b(?:(?P<times>double|triple)\s+)?(?P<name>{_digit})\b)",
     re.IGNORECASE,
 )
 #: Before a plain 'at' and a host with real dots: a name that prose wouldn't have, with a digit or a mark inside.
-NAMED = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*[0-9._%+-][A-Za-z0-9._%+-]*\Z")
+NAMED = re.compile(r"(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9._%+-]*[0-9._%+][A-Za-z0-9._%+-]*(?<=[A-Za-z0-9])\Z")
 GAP = re.compile(r"[\s\-]+|,\s*|[\s,]+(?:dash|hyphen|minus)[\s,]+", re.IGNORECASE)
 AT_DOT = re.compile(
     r"[\[({<«]\s{0,3}(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s{0,3}[\])}>»]|&(?:commat|period|\#0{0,4}(?:64|46)|\#x0{0,4}(?:40|2e));|%40|_at_|_dot_|\s@|@\s",
@@ -215,7 +216,7 @@ def suspicious(text: str, raw: bytes) -> bool:
             return True
     plain_words = raw.translate(FLAT).split()
     spelled, digits = sum(map(TRIGGERS.__contains__, plain_words)), DIGIT.search(text)
-    if spelled >= 2 or (spelled and digits) or not DOTS.isdisjoint(plain_words):
+    if spelled >= 2 or (digits and (spelled or b"plus" in plain_words)) or not DOTS.isdisjoint(plain_words):
         return True
     if any(x in raw for x in SIGNS) and AT_DOT.search(text):
         return True
