@@ -42,12 +42,22 @@ def scd2(changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: st
 
 
 def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
-    """Each fact with the version that was valid at its time, or nulls. An equi-join on the key, filtered by range."""
-    versions = history.select(
-        F.col(key).alias("__k"), F.col("effective_from").alias("__from"), F.col("effective_to").alias("__to"), *columns
+    """Each fact with the version that was valid at its time, or nulls; versions of a key must not overlap.
+
+    Versions and facts of a key are read once in order of time, so a key costs its rows and not their pairs. Facts
+    without a key have no version; they are spread by their time.
+    """
+    version = F.struct(F.col("effective_from").alias("__from"), F.col("effective_to").alias("__to"), *columns)
+    past = history.where(F.col(key).isNotNull() & F.col("effective_from").isNotNull()).select(
+        F.col(key).alias("__k"), F.col("effective_from").alias("__at"), version.alias("__v")
     )
-    during = (F.col(at) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
-    return facts.join(versions, (F.col(key) == F.col("__k")) & during, "left").drop("__k", "__from", "__to")
+    asked = facts.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.struct(*facts.columns).alias("__fact"))
+    order = Window.partitionBy("__k", F.when(F.col("__k").isNull(), F.xxhash64("__at"))).orderBy("__at", F.col("__fact").isNotNull())
+    last = F.last("__v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = asked.unionByName(past, allowMissingColumns=True).withColumn("__v", last).where(F.col("__fact").isNotNull())
+    ends = F.col("__v.__to")
+    valid = ends.isNull() | (F.col("__at") < ends)
+    return found.select("__fact.*", *[F.when(valid, F.col("__v")[c]).alias(c) for c in columns])
 
 
 def watermark_rows(df: DataFrame, source_table: str, run: RunContext, column: str = "updated_at") -> DataFrame:

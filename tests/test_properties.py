@@ -66,3 +66,24 @@ def test_versions_follow_each_other(spark):
         for a, b in zip(versions, versions[1:]):
             assert a.effective_to == b.effective_from and (a.v, a.fk) != (b.v, b.fk)
     assert len({r.surrogate_key for r in past}) == len(past)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_as_of_against_every_version(spark, seed):
+    rnd = random.Random(seed)
+    rows = [{"k": rnd.choice([None, 1, 1, 1, 2, 3]), "at": rnd.choice([None, *range(40)]), "v": rnd.choice(["a", "b", None])} for _ in range(90)]
+    past = history.scd2(spark.createDataFrame(rows, "k int, at int, v string"), ["k"], ["v"], "at")
+    past = past.where("k IS NULL OR v IS NOT NULL OR effective_to IS NULL")  # with gaps
+    facts = [(i, rnd.choice([None, 1, 1, 2, 3, 4]), rnd.choice([None, *range(-2, 45)])) for i in range(200)]
+    got = history.as_of(spark.createDataFrame(facts, "id int, k int, at int"), past, "k", "at", ["v"])
+    assert got.columns == ["id", "k", "at", "v"]
+    versions = past.collect()
+
+    def brute(k, at):
+        if k is None or at is None:
+            return None
+        valid = [x.v for x in versions if x.k == k and x.effective_from is not None and x.effective_from <= at and (x.effective_to is None or at < x.effective_to)]
+        assert len(valid) <= 1
+        return valid[0] if valid else None
+
+    assert sorted((r.id, r.v or "") for r in got.collect()) == [(i, brute(k, at) or "") for i, k, at in facts]
