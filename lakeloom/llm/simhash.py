@@ -112,12 +112,21 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
 
     doc_id names a document, so of rows that repeat one a single row stays. Rows with a null doc_id have no name to
     be dropped by: of these only rows with equal texts are reduced to one.
+    Ids alone are grouped and marked; of the texts, only those of repeated or null ids are shuffled for it.
     """
-    marks = near_duplicates(docs, width, distance)
-    dropped = written(marks.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    gone = F.coalesce(F.max(F.col("doc_id") != F.col("component_id")), F.lit(False))
+    marks = near_duplicates(docs, width, distance).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), gone.alias("gone"))
+    marks = written(marks, "marks")
+    # Written apart, so that the planner knows the size of each.
+    out = written(marks.where("__id IS NOT NULL AND (gone OR n > 1)").select("__id"), "dropped")
+    several = written(marks.where("NOT gone AND (n > 1 OR __id IS NULL)").select("__id"), "several")
+    stay = docs.where("doc_id IS NOT NULL").join(out, F.col("doc_id") == F.col("__id"), "left_anti")
+    if several.isEmpty():
+        return stay
     unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    stay = docs.join(dropped, "doc_id", "left_anti").withColumn("__unnamed", unnamed)
-    return stay.dropDuplicates(["doc_id", "__unnamed"]).select(*[quoted(c) for c in docs.columns])
+    again = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__unnamed", unnamed)
+    again = again.dropDuplicates(["doc_id", "__unnamed"]).select(*[quoted(c) for c in docs.columns])
+    return stay.unionByName(again)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
