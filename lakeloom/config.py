@@ -18,6 +18,7 @@ class LakeConfig:
     gold_schema: str = "gold"
     control_schema: str = "control"
     landing: str = "landing"
+    line_breaks: bool = True  # whether fields of extracts may hold them; if not, large files are read by several tasks
     table_format: str = "parquet"
     source_system: str = "azure_sql"
 

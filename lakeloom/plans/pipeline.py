@@ -18,7 +18,7 @@ def ingest(spark: SparkSession, config: LakeConfig, run: RunContext) -> None:
     rows = []
     for name, spec in ENTITIES.items():
         path = f"{config.landing}/{name}.csv"
-        raw = readers.read_csv(spark, path, spec.raw_schema)
+        raw = readers.read_csv(spark, path, spec.raw_schema, config.line_breaks)
         raw = readers.with_lineage(raw, config.source_system, spec.source_table, path, run.run_id, run.at)
         sinks.overwrite(raw, config.table("bronze", name), config.table_format)
         stored = silver.typed(spark.table(config.table("bronze", name)), spec)

@@ -12,9 +12,13 @@ from pyspark.sql.types import StructType
 REQUIRED_ENV = ("SOURCE_DB_URL", "SOURCE_DB_USER", "SOURCE_DB_PASSWORD", "SOURCE_DB_DRIVER")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """An extract as text: RFC 4180 quoting, quoted line breaks, byte order mark; columns by the header's order."""
-    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=False, encoding="UTF-8").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, line_breaks: bool = True) -> DataFrame:
+    """An extract as text: RFC 4180 quoting, quoted line breaks, byte order mark; columns by the header's order.
+
+    Where fields may hold line breaks, a file is read by one task, as only its start tells what is quoted; large
+    extracts should come as many files, or without such fields (line_breaks=False), and are then split.
+    """
+    return spark.read.schema(schema).options(header=True, multiLine=line_breaks, escape='"', enforceSchema=False, encoding="UTF-8").csv(path)
 
 
 def with_lineage(df: DataFrame, system: str, table: str, file: str, run_id: str, at: datetime) -> DataFrame:

@@ -167,6 +167,21 @@ def test_window_is_half_open(spark):
     assert [r.id for r in df.where(readers.between_watermarks(F.col("id"), None, 1)).collect()] == [0, 1]
 
 
+def test_extracts_without_line_breaks_are_split(spark, tmp_path):
+    lines = ["id,t", *[f'{i},"say ""{i}"", ok"' for i in range(2000)]]
+    (tmp_path / "x.csv").write_bytes(b"\xef\xbb\xbf" + "\n".join(lines).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        whole, split = (readers.read_csv(spark, str(tmp_path / "x.csv"), "id string, t string", b) for b in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        for df in (whole, split):
+            assert sorted((int(r.id), r.t) for r in df.collect()) == [(i, f'say "{i}", ok') for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_schema_drift(spark):
     old, new = spark.range(1).withColumn("x", F.lit(1)).schema, spark.range(1).withColumns({"id": F.lit("a"), "y": F.lit(1)}).schema
     diff = history.schema_diff(old, new)
