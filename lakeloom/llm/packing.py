@@ -1,10 +1,10 @@
 """Packing documents into training sequences: a cutting-stock plan found by column generation.
 
-Lengths are counted in classes of GRAIN tokens. A linear program over patterns (which classes share a sequence) is
+Lengths are counted in classes of GRAIN tokens, of texts too short for that in finer ones. A linear program over patterns (which classes share a sequence) is
 solved with columns priced by a knapsack recursion; its solution is rounded down, the rest is placed first-fit, and
 documents take the places of the plan by their rank within their class. All of that depends on a histogram of at most
-CAPACITY / GRAIN numbers, whatever the size of the corpus. A small share of documents, found by a hash of doc_id and
-as large as the plan's slack asks for, is held back and cut to fill what the sequences have left.
+CAPACITY numbers, whatever the size of the corpus. A share of documents, found by a hash of doc_id and as large as the
+plan's slack asks for, is held back and cut to fill what the sequences have left.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import over_texts, table, written
 
 CAPACITY, GRAIN, END = 4096, 16, 2
+#: Tokens that rounding to classes may add, as a part of all; above it classes are made finer.
+ROUNDING = 0.05
 #: Sequences whose free places one task fills from the documents held back for them.
 GROUP = 256
 #: Documents in each bucket within which ranks are counted, about, until there are BUCKETS of them.
@@ -252,9 +254,42 @@ def _unit(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _histogram(pieces: DataFrame) -> tuple[dict[int, int], int]:
-    rows = pieces.groupBy("size").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()
-    return {r["size"]: r["n"] for r in rows}, sum(r["tokens"] for r in rows)
+def _lengths(pieces: DataFrame) -> dict[int, int]:
+    return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def size_of(length: int, unit: int) -> int:
+    """The class of a length: the units it takes. Above 32 units steps double, up to GRAIN, so classes stay few."""
+    step = unit
+    while step < GRAIN and length > 32 * step:
+        step *= 2
+    return -(-length // step) * step // unit
+
+
+def histogram_of(lengths: dict[int, int], unit: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for length, n in lengths.items():
+        size = size_of(length, unit)
+        out[size] = out.get(size, 0) + n
+    return out
+
+
+def unit_for(lengths: dict[int, int]) -> int:
+    """GRAIN, or the largest unit below it whose rounding adds no more than ROUNDING; 1 if none does."""
+    tokens, unit = sum(k * n for k, n in lengths.items()), GRAIN
+    while unit > 1 and sum(k * n for k, n in histogram_of(lengths, unit).items()) * unit * (1 - ROUNDING) > tokens:
+        unit //= 2
+    return unit
+
+
+def held_share(slack: float) -> float:
+    """The share of documents to hold back. Filling the free places takes the slack itself; more is for chance."""
+    return min(2.5 * slack + 0.01, 0.15 + 0.85 * slack)
+
+
+def groups_for(sequences: int, held: int) -> int:
+    """Groups so that none has more than GROUP sequences of the plan or, on average, of tokens held back."""
+    return max(1, -(-sequences // GROUP), -(-held // (GROUP * CAPACITY)))
 
 
 def _fill(group: tuple, places: pd.DataFrame, held: pd.DataFrame, first_free: int, groups: int) -> pd.DataFrame:
@@ -303,17 +338,21 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = written(over_texts(docs, ["doc_id", "text"], schema, _cut, path), "pieces")
-    pieces = pieces.withColumn("size", F.ceil(F.col("length") / GRAIN).cast("int"))
-    histogram, tokens = _histogram(pieces)
-    sequences = sum(n for _, n in plan(histogram))
+    lengths = _lengths(pieces)
+    unit, tokens = unit_for(lengths), sum(k * n for k, n in lengths.items())
+    sequences = sum(n for _, n in plan(histogram_of(lengths, unit), CAPACITY // unit))
     slack = 1 - tokens / (CAPACITY * sequences) if sequences else 0.0
-    share = min(1.0, 2.5 * slack + 0.01)
+    share = held_share(slack)
 
+    step = F.lit(GRAIN)  # size_of() as a column
+    for k in reversed([unit << i for i in range(GRAIN.bit_length()) if unit << i < GRAIN]):
+        step = F.when(F.col("length") <= 32 * k, k).otherwise(step)
+    pieces = pieces.withColumn("size", (F.ceil(F.col("length") / step) * step / unit).cast("int"))
     free = pieces.where(_unit(1) >= share)
-    histogram, tokens = _histogram(free)
-    buckets = min(BUCKETS, max(1, sum(histogram.values()) // BUCKET))
-    places = Places(plan(histogram))
-    groups = max(1, -(-places.sequences // GROUP), int(share * sum(histogram.values()) / GROUP / 16))
+    lengths = _lengths(free)
+    buckets = min(BUCKETS, max(1, sum(lengths.values()) // BUCKET))
+    places = Places(plan(histogram_of(lengths, unit), CAPACITY // unit))
+    groups = groups_for(places.sequences, tokens - sum(k * n for k, n in lengths.items()))
 
     # Ranks within a class: counted within buckets, to which the counts of the buckets before are added.
     free = free.withColumn("bucket", F.floor(_unit(2) * buckets))

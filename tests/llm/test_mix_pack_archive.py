@@ -169,6 +169,24 @@ def test_packing_when_nothing_fits_together(spark):
     assert padding < 0.25 * tokens
 
 
+def test_packing_of_short_texts_goes_by_the_plan(spark, monkeypatch):
+    shares, groups = [], []
+    share_of, groups_of = packing.held_share, packing.groups_for
+    monkeypatch.setattr(packing, "held_share", lambda slack: shares.append(share_of(slack)) or shares[-1])
+    monkeypatch.setattr(packing, "groups_for", lambda *a: groups.append(groups_of(*a)) or groups[-1])
+    monkeypatch.setattr(packing, "GROUP", 2)
+    frame = docs(spark, ["one two three four five six seven eight"[: 4 + i % 36] for i in range(6000)])
+    rows = packing.packed(frame).collect()
+    padding, tokens = check_packing(frame, rows)
+    assert padding < packing.CAPACITY and shares[0] < 0.1  # what one sequence has left, at most
+    assert groups[0] >= tokens // packing.CAPACITY // 2
+    for unit in (1, 2, 4, 8, 16):
+        sizes = [packing.size_of(n, unit) for n in range(1, 4097)]
+        assert sizes == sorted(sizes) and all(n <= s * unit < n + 16 for n, s in enumerate(sizes, 1)) and sizes[-1] == 4096 // unit
+    assert packing.held_share(0.002) == pytest.approx(0.015) and packing.held_share(0.5) < 0.6
+    assert packing.groups_for(0, 10 * packing.GROUP * packing.CAPACITY) == 10
+
+
 def test_encoder_is_the_tokenizer():
     encode = packing.Encoder(packing.tokenizer_path(), limit=50)
     whole = lambda t: np.array([*encode.tokenizer.encode(t, add_special_tokens=False).ids, packing.END], "<u4").tobytes()
