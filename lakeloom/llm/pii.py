@@ -48,12 +48,13 @@ SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7",
     "acht": "8", "neun": "9",
 }
-#: Words of ordinary prose: they don't start the search for spelled digits, but are read inside a run.
+#: Words of ordinary prose: one of them after a plain number is no part of it.
 COMMON = {"un", "une", "oh", "null", "dos", "six", "uno"}
-TRIGGERS = frozenset(w.encode() for w in SPELLED if w not in COMMON)
+#: Words of numbers in Latin-1: digits and what may stand between them.
+NUMBER = frozenset(w.encode("latin-1") for w in [*SPELLED, "double", "triple", "dash", "hyphen", "minus", "dot", "punto", "point", "punkt"])
 FLAT = bytes(
-    c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
-)  # letters lower-cased, all else a blank
+    c + 32 if 65 <= c <= 90 or 192 <= c <= 222 and c != 215 else c if chr(c).isalnum() and (c < 128 or c >= 192) else 32 for c in range(256)
+)  # of Latin-1: letters lower-cased, digits, all else a blank
 #: Last labels that make "name at host dot label", with no brackets, an address.
 TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|me|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pt|mx|ar|br|cl|pe|ru|jp|cn|in|au|example|test|invalid|localhost"
 _digit = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -78,13 +79,16 @@ AT_DOT = re.compile(
     r"[\[({<«]\s{0,3}(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s{0,3}[\])}>»]|&(?:commat|period|\#0{0,4}(?:64|46)|\#x0{0,4}(?:40|2e));|%40|_at_|_dot_|\s@|@\s",
     re.IGNORECASE,
 )
-AT_HOST = re.compile(r"\s(?:at|arroba)\s+[\w-]+(?:\.[\w-]+)+", re.IGNORECASE)
+AT_HOST = re.compile(r"\s(?:at|arroba)\s+[\w-]+(?:\.[\w-]|\s+point\s)", re.IGNORECASE)
+BLANK_DOT = re.compile(rf"\s\.\s*(?:{TOP})\b", re.IGNORECASE)
+TRAILING = re.compile(rf"[\s-]+(?:{'|'.join(sorted(COMMON))})", re.IGNORECASE)
 #: Digits with letters that look like digits between or after them, but no letters of a word.
 DIGIT_LOOK = re.compile(r"(?<!\w)[0-9OoIl](?:[\x20().-]{0,2}[0-9OoIl])+(?!\w)")
 #: What a match of AT_DOT holds: one of these words, or else one of these bytes.
 DOTS = frozenset((b"dot", b"punto", b"punkt"))
 ATS = frozenset((b"at", b"arroba"))
-SIGNS = (b"[", b"(", b"{", b"<", "«".encode(), b"&", b"%40", b"_", b"@")
+SIGNS = (b"[", b"(", b"{", b"<", b"\xab", b"&", b"%40", b"_", b"@")
+HAS_DIGIT = re.compile(rb"[0-9]")
 Span = tuple[str, int, int]
 
 
@@ -206,17 +210,31 @@ def words(text: str) -> Rewritten:
 
 
 def suspicious(text: str, raw: bytes) -> bool:
-    """Whether a rule of the transducers that matters could apply; a cheap look at the whole text."""
+    """Whether a rule of the transducers that matters could apply; a cheap look at the whole text.
+
+    It must not be narrower than the rules: a number in disguise has a word of NUMBER beside a digit or another such
+    word, or 'plus' and digits; an address has a sign or word for its at, and one for a dot beside a plain sign.
+    """
     if not text.isascii():
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
             return True
         if "\xad" in text or "\xa0" in text:
             return True
     plain_words = raw.translate(FLAT).split()
-    spelled, digits = sum(map(TRIGGERS.__contains__, plain_words)), DIGIT.search(text)
-    if spelled >= 2 or (digits and (spelled or b"plus" in plain_words)) or not DOTS.isdisjoint(plain_words):
+    digits = DIGIT.search(text)
+    if (digits and b"plus" in plain_words) or not DOTS.isdisjoint(plain_words):
+        return True
+    flags = bytes(map(NUMBER.__contains__, plain_words))
+    if b"\1\1" in flags:
+        return True
+    at = flags.find(1) if digits else -1
+    while at >= 0:
+        if HAS_DIGIT.search(b" ".join(plain_words[max(0, at - 1) : at + 2])):
+            return True
+        at = flags.find(1, at + 1)
+    if b"@" in raw and (b"point" in plain_words or BLANK_DOT.search(text)):
         return True
     if any(x in raw for x in SIGNS) and AT_DOT.search(text):
         return True
@@ -236,7 +254,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         span = (kind, a, b)
         if text[a:b] == second.text[start:end] or span in known:
             continue
-        if any(k == kind and x <= a and b <= y for k, x, y in base):
+        if any(k == kind and x <= a and (b <= y or TRAILING.fullmatch(text, y, b)) for k, x, y in base):
             continue
         out.append(span)
     return out

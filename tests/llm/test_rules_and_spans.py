@@ -113,6 +113,29 @@ def test_disguises_map_back_to_the_source(text, kind, span, before):
     assert span not in pii.masked(text) and f"<{kind}>" in pii.masked(text)
 
 
+GATED = [text for text, _, _ in DISGUISED] + [
+    "jean arroba exemple point fr", "jean@exemple point fr", "x jean point dupont@exemple.fr", "jean at exemple point fr", "jane@example .com",
+    "192 point 168 point 1 point 20", "+1 415 555 oh 199", "+1 415 55 une uno", "4111 1111 1111 111 un", "un neuf dos point six point null point uno",
+    "jean «arroba» exemple «point» fr", "ring +1 415 555 triple un", "+1 415 (oh) 55199", "¿dos¡ un un un un un un un un un un un un un un un",
+]
+
+
+@pytest.mark.parametrize("text", GATED)
+def test_the_gate_is_no_narrower_than_the_rules(text, monkeypatch):
+    for whole in (text, f"Some plain words first: {text}", f"{text}, and more words.", f"Été à l'île ({text}) ¿qué?", f"Un mot de plus\n{text}\nune fin", text.upper()):
+        with monkeypatch.context() as m:
+            m.setattr(pii, "suspicious", lambda *_: True)
+            want = pii.find(whole)
+        assert pii.find(whole) == want, whole
+    if text in GATED[len(DISGUISED) : -1]:
+        assert pii.find(text)[1], text
+
+
+@pytest.mark.parametrize("text", ["ouvi. +1 (848) 555-1373 Un an oule", "+1 848 555 1373 une fois"])
+def test_a_word_of_prose_after_a_plain_number_is_no_digit(text):
+    assert pii.disguised(text, pii.plain(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at polka dot dresses", "one two three, he said", "the point is at hand", "Straße été niño", "see section 1.2.3", "", None, "l'été à l'île at home dot", "5 dot 6", "look at example.com now", "in 2010 Il vit 1000 Il", "at 5 @ home", "plus 10 000 000 euros", "plus 12.500.000 habitants", "in 2004 at example.com", "well-known at example.com", "e.g. at example.com", "1234 5678 of Illinois 99"])
 def test_clean_texts_have_no_spans_at_all(text):
     test_clean_texts_have_no_spans(text)
