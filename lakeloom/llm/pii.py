@@ -1,7 +1,8 @@
 r"""Personal data with offsets: plain patterns, and disguised identifiers found in a normalised text.
 
-Two transducers rewrite a text and remember where each character came from: the first maps look-alike characters
-and drops invisible ones, the second reads spelled digits and at/dot disguises. The plain patterns run again over
+Three transducers rewrite a text and remember where each character came from: the first maps look-alike characters
+and drops invisible ones, the second reads letters in the place of digits, the third spelled digits and at/dot
+disguises. The plain patterns run again over
 the result, and what they find is mapped back to spans of the source.
 """
 
@@ -170,7 +171,6 @@ def lookalike_runs(text: str) -> list[re.Match]:
 def characters(text: str) -> Rewritten:
     """First transducer: look-alikes to ASCII, any decimal digit to 0-9, invisible characters dropped."""
     made = Rewritten(text)
-    looks = [m.start() + k for m in lookalike_runs(text) for k, c in enumerate(m[0]) if c in "OoIl"]
     for i in ([] if text.isascii() else [m.start() for m in re.finditer(r"[^\x00-\x7f]", text)]):
         c = text[i]
         if c in INVISIBLE:
@@ -183,15 +183,23 @@ def characters(text: str) -> Rewritten:
                 flat = "".join(str(unicodedata.digit(x)) for x in flat)
             if flat != c and flat.isascii():
                 made.put(i, i + 1, flat)
-    if looks and not made.parts:
-        for i in looks:
-            made.put(i, i + 1, "0" if text[i] in "Oo" else "1")
+    made.text = made.done()
+    return made
+
+
+def letters(text: str) -> Rewritten:
+    """Second transducer, over the first one's text: letters in the place of digits, in runs mostly of digits."""
+    made = Rewritten(text)
+    for m in lookalike_runs(text):
+        for k, c in enumerate(m[0], m.start()):
+            if c in "OoIl":
+                made.put(k, k + 1, "0" if c in "Oo" else "1")
     made.text = made.done()
     return made
 
 
 def words(text: str) -> Rewritten:
-    """Second transducer: at and dot disguises to their signs, runs of spelled digits to digits without gaps."""
+    """Third transducer: at and dot disguises to their signs, runs of spelled digits to digits without gaps."""
     made = Rewritten(text)
     last = -1  # where the digit or sign before ended
     for m in RULES.finditer(text):
@@ -246,11 +254,11 @@ def suspicious(text: str, raw: bytes) -> bool:
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans of the source that only the normalised text shows."""
     first = characters(text)
-    second = words(first.text)
+    middle = letters(first.text)
+    second = words(middle.text)
     out, known = [], set(base)
     for kind, start, end in plain(second.text):
-        mid = second.back(start, end)
-        a, b = first.back(*mid)
+        a, b = first.back(*middle.back(*second.back(start, end)))
         span = (kind, a, b)
         if text[a:b] == second.text[start:end] or span in known:
             continue

@@ -113,6 +113,19 @@ def test_disguises_map_back_to_the_source(text, kind, span, before):
     assert span not in pii.masked(text) and f"<{kind}>" in pii.masked(text)
 
 
+@pytest.mark.parametrize(("text", "kind", "span"), DISGUISED)
+@pytest.mark.parametrize("around", ["He said – and left. {}", "Vraiment\xa0? {}", "{}\nthe end — or\u200b not", "Москва {} ｏｋ"])
+def test_a_rewritten_character_elsewhere_switches_nothing_off(text, kind, span, around):
+    whole = around.format(text)
+    assert [(k, whole[a:b]) for k, a, b in pii.find(whole)[1] if k == kind] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", ["+1\xa0555\xa0O12\xa03456", "4lll\u200b 1111 1111 111１", "+1 555 О12 3456"])
+def test_letters_for_digits_among_rewritten_characters(text):
+    found = [f"x {text} y"[a:b] for _, a, b in pii.find(f"x {text} y")[1]]
+    assert found == [text]
+
+
 GATED = [text for text, _, _ in DISGUISED] + [
     "jean arroba exemple point fr", "jean@exemple point fr", "x jean point dupont@exemple.fr", "jean at exemple point fr", "jane@example .com",
     "192 point 168 point 1 point 20", "+1 415 555 oh 199", "+1 415 55 une uno", "4111 1111 1111 111 un", "un neuf dos point six point null point uno",
