@@ -8,7 +8,7 @@ but for a few at their rims, wherever they stand. A fingerprint keeps the least
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ CELLS = 64
 #: Level from whose phrases on (about 25 characters and more) a fingerprint is made.
 FIRST = 3
 LEVELS = 24
-#: Characters that are parsed at once; the arrays take about a hundred bytes for each.
-SYMBOLS = 1 << 20
+#: Characters that are parsed at once, of several texts or as a stretch of a longer one; the arrays take about a
+#: hundred bytes for each.
+SYMBOLS = 1 << 17
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = 0xFFFF
 
@@ -100,63 +101,149 @@ def levels(names: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, n
             first = np.searchsorted(at, first)
         start = _toss(names, first)
         where = np.flatnonzero(start)
-        place = np.arange(len(names)) - np.repeat(where, np.diff(where, append=len(names)))
-        mixed = mix(names.astype(np.uint64) + PLACES[np.minimum(place, len(PLACES) - 1)])
-        names = mix(np.add.reduceat(mixed, where))
+        names = _named(names, where)
         kept = np.zeros(len(sizes), np.int64)
         kept[texts] = np.diff(np.searchsorted(where, np.append(first, len(start))))
         sizes = kept
         yield names, sizes
 
 
-def sketches(texts: list[str]) -> list[str]:
-    """A fingerprint for each text, made in batches of some SYMBOLS characters or one long text: see _sketches()."""
-    out: list[str] = []
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > SYMBOLS:
-            out += _sketches(texts[begin:i])
-            begin, size = i, 0
-        size += len(text)
-    return out + _sketches(texts[begin:])
+class Level:
+    """One level of a text that comes in stretches: names go in, the names of its phrases come out as they are settled.
+
+    The same phrases as levels() makes of the whole text. A label depends on the three names before it and a phrase's
+    start on the labels beside it, so four names are kept from before the phrase that is still open.
+    """
+
+    def __init__(self) -> None:
+        self.count = 0  # names that came in
+        self.run: tuple[np.uint64, int] | None = None  # the last run of equal names, still open: the name, how often
+        self.kept = np.empty(0, np.uint64)  # the open phrase and what is before it
+        self.open = 0  # where it starts there
+
+    def _runs(self, names: np.ndarray, end: bool) -> np.ndarray:
+        at = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
+        values, lengths = names[at].astype(np.uint64), np.diff(at, append=len(names))
+        if self.run is not None:
+            if len(values) and values[0] == self.run[0]:
+                lengths[0] += self.run[1]
+            else:
+                values, lengths = np.append(self.run[0], values), np.append(self.run[1], lengths)
+            self.run = None
+        if len(values) and not end:
+            self.run = values[-1], int(lengths[-1])
+            values, lengths = values[:-1], lengths[:-1]
+        long = lengths > 1
+        values[long] = mix(values[long] + np.uint64(0x9E3779B97F4A7C15) * lengths[long].astype(np.uint64))
+        return values
+
+    def feed(self, names: np.ndarray, end: bool) -> np.ndarray:
+        self.count += len(names)
+        names = np.append(self.kept, self._runs(names, end))
+        if not len(names) or (end and self.count == 1):  # a text that is down to one name goes no further
+            return np.empty(0, np.uint64)
+        start = _toss(names, np.zeros(1, np.int64))
+        settled = len(names) if end else len(names) - 1
+        where = np.append(self.open, np.flatnonzero(start[self.open + 1 : settled]) + self.open + 1)
+        stop = len(names) if end else int(where[-1])
+        made = np.empty(0, np.uint64)
+        if stop > self.open:
+            begins = where if end else where[:-1]
+            made = _named(names[self.open : stop], begins - self.open)
+        first = max(0, stop - 4)
+        self.kept, self.open = names[first:], stop - first
+        return made
+
+
+def _named(names: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The names of the phrases that start at `where` and fill `names`."""
+    place = np.arange(len(names)) - np.repeat(where, np.diff(where, append=len(names)))
+    mixed = mix(names.astype(np.uint64) + PLACES[np.minimum(place, len(PLACES) - 1)])
+    return mix(np.add.reduceat(mixed, where))
+
 
+#: Above all that a cell can hold: 48 bits of a hash, of which the last 16 are shown.
+FULL = np.uint64(1 << 48)
 
-def _sketches(texts: list[str]) -> list[str]:
+
+def _lower(cells: np.ndarray, names: np.ndarray, owner: np.ndarray | int = 0) -> None:
+    """Puts the names into the cells of their owners, where the least hash stays."""
+    hashed = mix(names.astype(np.uint64) + np.uint64(77))
+    cell = (hashed >> np.uint64(58)).astype(np.int64) + np.asarray(owner) * CELLS
+    np.minimum.at(cells, cell, hashed & (FULL - np.uint64(1)))
+
+
+def _shown(cells: np.ndarray) -> list[str]:
+    low = np.minimum(cells & np.uint64(0xFFFF), np.uint64(EMPTY - 1))
+    raw = np.where(cells == FULL, np.uint64(EMPTY), low).astype(">u2").tobytes().hex()
+    return [raw[i : i + CELLS * 4] for i in range(0, len(raw), CELLS * 4)]
+
+
+def _symbols(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def sketches(texts: list[str]) -> list[str]:
     """A fingerprint for each text: CELLS cells of four hex digits, the least hash in each cell or 'ffff' if empty.
 
     The names of the levels from FIRST on count; a text that has none there counts the names of all its levels, a
-    text of one character that character. Empty: all cells empty.
+    text of one character that character. Empty: all cells empty. Texts are parsed together up to SYMBOLS characters;
+    a longer one goes through in stretches of as many, so memory stays bounded.
     """
-    out = np.full((len(texts), CELLS), EMPTY, np.uint16)
-    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out: list[str] = []
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size + len(text) > SYMBOLS:
+            out += _together(texts[begin:i])
+            begin, size = i, 0
+        if len(text) > SYMBOLS:
+            out.append(in_stretches(text[k : k + SYMBOLS] for k in range(0, len(text), SYMBOLS)))
+            begin = i + 1
+        else:
+            size += len(text)
+    return out + _together(texts[begin:])
+
+
+def _together(texts: list[str]) -> list[str]:
+    if not texts:
+        return []
+    symbols, sizes = _symbols("".join(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
     made = [(symbols, sizes), *levels(symbols, sizes)]
     depth = np.zeros(len(texts), np.int64)
     for i, (_, n) in enumerate(made):
         depth[n > 0] = i
-    held: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
+    cells = np.full(len(texts) * CELLS, FULL, np.uint64)
     for i, (names, n) in enumerate(made):
         owner = np.repeat(np.arange(len(texts)), n)
         if i < FIRST:
-            low = (depth < FIRST) if i else (depth == 0)
-            mine = low[owner]
-            names, owner = names[mine].astype(np.uint64), owner[mine]
-        held.append(mix(names + np.uint64(77)))
-        owners.append(owner)
-    names, owner = np.concatenate(held), np.concatenate(owners)
-    if len(names):
-        cell = owner * CELLS + (names >> np.uint64(58)).astype(np.int64)
-        value = (names >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((value, cell))
-        cell = cell[order]
-        lead = np.ones(len(cell), bool)
-        lead[1:] = cell[1:] != cell[:-1]
-        low = names[order[lead]] & np.uint64(0xFFFF)
-        out.reshape(-1)[cell[lead]] = np.minimum(low, EMPTY - 1).astype(np.uint16)
-    raw = out.astype(">u2").tobytes().hex()
-    width = CELLS * 4
-    return [raw[i * width : (i + 1) * width] for i in range(len(texts))]
+            mine = ((depth < FIRST) if i else (depth == 0))[owner]
+            names, owner = names[mine], owner[mine]
+        _lower(cells, names, owner)
+    return _shown(cells)
+
+
+def in_stretches(parts: Iterable[str]) -> str:
+    """The fingerprint of the text that the parts make up; only they and what is open on each level are held."""
+    chain: list[Level] = []
+    cells = [np.full(CELLS, FULL, np.uint64) for _ in range(FIRST + 1)]  # of each level below FIRST, of all from it on
+    depth = 0
+
+    def push(level: int, names: np.ndarray, end: bool) -> None:
+        nonlocal depth
+        if len(names):
+            depth = max(depth, level)
+            _lower(cells[min(level, FIRST)], names)
+            if level == len(chain) < LEVELS:
+                chain.append(Level())
+        if level < len(chain):
+            push(level + 1, chain[level].feed(names, end), end)
+
+    for part in parts:
+        push(0, _symbols(part), False)
+    push(0, np.empty(0, np.uint32), True)
+    if depth >= FIRST:
+        return _shown(cells[FIRST])[0]
+    return _shown(cells[0] if not depth else np.min(cells[1:], axis=0))[0]
 
 
 def likeness(a: str, b: str) -> float:
@@ -168,22 +255,35 @@ def likeness(a: str, b: str) -> float:
     return float(np.count_nonzero((x == y) & filled) / np.count_nonzero(filled))
 
 
-def edited(text: str, following: str) -> str:
-    """text with its last half replaced by the start of the following text, as long or all of it."""
+def edited(text: str, following: str) -> Iterator[str]:
+    """text with its last half replaced by the start of the following text, as long or all of it; in stretches."""
     half = len(text) // 2
-    return text[: len(text) - half] + following[:half]
+    for part, size in ((text, len(text) - half), (following, min(half, len(following)))):
+        for k in range(0, size, SYMBOLS):
+            yield part[k : min(size, k + SYMBOLS)]
 
 
 def _compare(ids: list, texts: list[str], next_texts: list[str]) -> list[list]:
     """The result columns for documents and the text that follows each."""
-    changed = [edited(t, n) for t, n in zip(texts, next_texts, strict=True)]
-    own, other = sketches(texts), sketches(changed)
+    digests, other = [], []
+    changed: list[str] = []  # edited texts that are short, to be parsed together
+    for text, following in zip(texts, next_texts, strict=True):
+        hashed = hashlib.sha256()
+        for part in edited(text, following):
+            hashed.update(part.encode("utf-8", "surrogatepass"))
+        digests.append(hashed.hexdigest())
+        if len(text) > SYMBOLS:
+            other += [*sketches(changed), in_stretches(edited(text, following))]
+            changed.clear()
+        else:
+            changed.append("".join(edited(text, following)))
+    other += sketches(changed)
+    own = sketches(texts)
     # Within a batch the next text is the next document's, but for the last one.
     last = sketches(next_texts[-1:]) if texts else []
     following = own[1:] + last
     return [
-        ids, [len(t) for t in texts],
-        [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], own, other,
+        ids, [len(t) for t in texts], digests, own, other,
         [likeness(a, b) for a, b in zip(own, other, strict=True)],
         [likeness(a, b) for a, b in zip(own, following, strict=True)],
     ]
