@@ -17,7 +17,7 @@ from lakeloom.llm.common import over_texts, table
 
 @dataclass(frozen=True)
 class License:
-    """A text to look for: one of its `keys` groups must stand word for word, and no bar inside the passage.
+    """A text to look for: each of its keys must stand word for word, and no bar inside the passage or right after it.
 
     exact: a notice of one line, where each word counts: nothing may be missing or stand between.
     """
@@ -185,6 +185,8 @@ MIN_COVERAGE = 0.8
 NEAR = 4
 #: Share of a template's words that a stretch must hold to be aligned, and that must align for it to grow.
 PARTLY = 0.3
+#: Words after a passage in which a bar counts too: a further clause makes it another license.
+BEYOND = 30
 
 
 def anchors(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -301,14 +303,14 @@ class Template:
         return best
 
     def holds(self, words: list[bytes], pairs: list[tuple[int, int]]) -> bool:
-        """Whether the aligned words reach the coverage, with every key word for word and no bar between them."""
+        """Whether the aligned words reach the coverage, with every key word for word and no bar inside or right after."""
         if len(pairs) < self.need:
             return False
         at = {j: i for i, j in pairs}
         whole = lambda r: all(j in at for j in r) and at[r[-1]] - at[r[0]] == len(r) - 1
         if not all(any(map(whole, places)) for places in self.keys):
             return False
-        inside = words[pairs[0][0] : pairs[-1][0] + 1]
+        inside = words[pairs[0][0] : pairs[-1][0] + 1 + BEYOND]
         return not any(_places(b, inside) for b in self.bars if b[0] in inside)
 
 

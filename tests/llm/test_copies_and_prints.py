@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import chat, components, parsing, simhash
 from lakeloom.llm.queries import ORACLES, QUERIES
-from tests.llm.helpers import awkward, docs, empty
+from tests.llm.helpers import LONG, awkward, docs, empty
 from tests.oracle import rows_of_frame, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +150,86 @@ def test_sketches_of_odd_texts():
     assert parsing.likeness(made[0], made[1]) == 0 and parsing.likeness(made[0], made[0]) == 1
 
 
+def naive_names(text):
+    """The names of each level, symbol by symbol, as the module's docstrings put it."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    now = [ord(c) for c in text]
+    out = [now]
+    while len(now) > 1:
+        runs = []
+        for x in now:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        now = [x if n == 1 else mix((x + 0x9E3779B97F4A7C15 * n) & mask) for x, n in runs]
+        labels = now
+        for _ in range(3):
+            tossed = []
+            for i, x in enumerate(labels):
+                low = 0 if i == 0 else ((x ^ labels[i - 1]) & -(x ^ labels[i - 1])).bit_length() - 1
+                tossed.append(2 * low + (x >> low & 1))
+            labels = tossed
+        last = len(labels) - 1
+        starts = [i for i, x in enumerate(labels) if i == 0 or (i < last and labels[i - 1] < x > labels[i + 1])]
+        phrases = [now[a:b] for a, b in zip(starts, [*starts[1:], len(now)])]
+        now = [mix(sum(mix((x + mix(min(k, 64))) & mask) for k, x in enumerate(p, 1)) & mask) for p in phrases]
+        out.append(now)
+    return out, mix
+
+
+def naive_sketch(text):
+    if not text:
+        return "ffff" * 64
+    made, mix = naive_names(text)
+    used = made[3:] or made[1:] or made
+    cells = [None] * 64
+    for x in (x for names in used for x in names):
+        h = mix((x + 77) & ((1 << 64) - 1))
+        cell, value = h >> 58, h & ((1 << 48) - 1)
+        cells[cell] = value if cells[cell] is None else min(cells[cell], value)
+    return "".join("ffff" if c is None else f"{min(c & 0xFFFF, 0xFFFE):04x}" for c in cells)
+
+
+def test_fingerprints_match_a_naive_parser():
+    rnd = random.Random(21)
+    texts = ["", "a", "aa", "ab", "a" * 300, "ab" * 200, "🙂é\ud83d"]
+    for _ in range(150):
+        letters = rnd.choice(["ab", "abc", "abcdefgh ijkl", "aé漢🙂 b"])
+        texts.append("".join(rnd.choice(letters) for _ in range(rnd.choice([2, 3, 9, 40, 200, 900]))))
+    assert parsing.sketches(texts) == [naive_sketch(t) for t in texts]
+
+
+def test_a_long_text_in_stretches_is_the_same_text():
+    rnd = random.Random(22)
+    for _ in range(60):
+        letters = rnd.choice(["ab", "abcdefgh ijkl", "aé漢🙂 b"])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 7, 90, 2000]))) + rnd.choice(["", "z" * 700])
+        for width in (1, 5, 64, 1000):
+            assert parsing.in_stretches(text[k : k + width] for k in range(0, len(text), width)) == parsing.sketches([text])[0]
+    assert parsing.in_stretches(["", "a", "", "b"]) == parsing.sketches(["ab"])[0]
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(23)
+    part = "".join(rnd.choice("abcdefgh ijklmnop") for _ in range(1 << 20))
+    text = part * 20
+    tracemalloc.start()
+    rows = parsing._compare([1], [text], [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and rows[6][0] == 1.0  # beside the texts themselves, 20 MB each
+    assert rows[2][0] == hashlib.sha256("".join(parsing.edited(text, text)).encode()).hexdigest()
+
+
 def test_parsing_of_a_table_matches_brute_force(spark):
     rnd = random.Random(10)
     texts = ["".join(rnd.choice("abc dé\n") for _ in range(rnd.choice([0, 1, 2, 7, 60, 900]))) for _ in range(40)] + [None]
@@ -160,13 +240,15 @@ def test_parsing_of_a_table_matches_brute_force(spark):
         following = clean[order[(k + 1) % len(order)]]
         n = len(clean[i])
         changed = clean[i][: n - n // 2] + following[: n // 2]
-        own, other, after = parsing.sketches([clean[i], changed, following])
+        own, other, after = (naive_sketch(t) for t in (clean[i], changed, following))
         assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, other)
         assert got[i].near_edited == parsing.likeness(own, other) and got[i].near_next == parsing.likeness(own, after)
 
 
 def test_parsing_on_awkward_rows(spark):
+    got = {r.doc_id: r for r in parsing.fingerprinted(awkward(spark)).collect()}
+    assert len(got) == 7 and got[5].n_chars == len(LONG) and got[5].fingerprint == parsing.sketches([LONG])[0]
     assert parsing.fingerprinted(awkward(spark)).count() == 8
     assert parsing.fingerprinted(empty(spark)).count() == 0
     alone = parsing.fingerprinted(docs(spark, ["only one text here, quite alone"])).first()

@@ -262,9 +262,17 @@ def lcs(a, b):
     return row[-1]
 
 
+def full_text(name):
+    return max((x.text for x in licenses._licenses() if x.name == name), key=len)
+
+
+def template(name):
+    return max((t for t in licenses.templates()[0] if t.name == name), key=lambda t: len(t.words))
+
+
 def test_alignment_is_valid_and_near_the_longest():
     rnd = random.Random(4)
-    t = licenses.templates()[0][6]
+    t = template("MIT")
     for _ in range(60):
         words = [w for w in t.words if rnd.random() > 0.08]
         for _ in range(6):
@@ -276,7 +284,7 @@ def test_alignment_is_valid_and_near_the_longest():
 
 
 def test_licenses_are_found_where_they_are(spark):
-    mit = licenses.TEMPLATES[6][1]
+    mit = full_text("MIT")
     twice = "Intro. Released under the MIT License.\nReleased under the MIT License. End"
     changed = mit.replace("restriction", "limits").replace("publish,", "").upper()
     texts = [twice, "é " * 300 + mit + " tail", changed, "This is the work of the public, licensed or not.", None, "", "license " * 500,
@@ -289,3 +297,81 @@ def test_licenses_are_found_where_they_are(spark):
     assert [got[i].n_passages for i in (3, 4, 5, 6)] == [0, 0, 0, 0]
     assert got[7].licenses == "CC-BY-NC-4.0" and got[8].licenses == "Apache-2.0"
     assert licenses.scanned(awkward(spark)).count() == 8 and licenses.scanned(empty(spark)).count() == 0
+
+
+def names(text):
+    return [f[0] for f in licenses.scan(text.encode())]
+
+
+@pytest.mark.parametrize("text", ["licensed under the BSD license", "Licensed under the Apache License", "Licensed under the Apache License, Version 1.1",
+    "licensed under the driving license", "Released under the MIT-0 License", "under the GNU Library General Public License", "CC BY 9.0", "Licensed under CC0 4.0"])
+def test_what_names_no_license_is_given_none(text):
+    assert names(text) == [] and names(f"Some words before. {text}, and some after.") == []
+
+
+@pytest.mark.parametrize(("text", "name"), [
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("released under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Licensed under\n# the GNU Affero General Public License v3", "AGPL-3.0")])
+def test_licenses_that_are_alike_are_told_apart(text, name):
+    assert names(text) == [name]
+
+
+def test_every_template_is_found_as_itself():
+    for made in licenses._licenses():
+        assert names(f"Before it. {made.text}. And after it.") == [made.name], made
+
+
+def test_texts_that_lack_what_tells_them_are_another_license():
+    bsd3, bsd2, mit = (full_text(n) for n in ("BSD-3-Clause", "BSD-2-Clause", "MIT"))
+    assert names(bsd3.replace(licenses.BSD_NAMES, "")) == ["BSD-2-Clause"] and names(bsd2) == ["BSD-2-Clause"]
+    four = bsd3.replace(" 3. Neither", " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement. 4. Neither")
+    assert names(four) == []
+    assert names(mit.replace(licenses.MIT_TERMS, ".")) == ["MIT-0"]
+    gpl = full_text("GPL-3.0")
+    assert names(gpl.replace("version 3", "version 2")) == ["GPL-2.0"] and names(gpl.replace("version 3", "version 4")) == []
+
+
+def test_insertions_are_bridged_and_truncated_texts_are_not_found():
+    words, other = full_text("MIT").split(), [f"noise{i}" for i in range(400)]
+    for cuts in ([40], [40, 90], [12, 60, 130]):
+        parts, last = [], 0
+        for k, cut in enumerate([*cuts, len(words)]):
+            parts += words[last:cut] + (other[k * 120 : (k + 1) * 120] if cut < len(words) else [])
+            last = cut
+        found = licenses.scan(" ".join(parts).encode())
+        assert [(f[0], f[3]) for f in found] == [("MIT", 1.0)]
+    prose = " the work of a person is in the hands of any other person, and all of it is for the use of the public" * 20
+    assert names(" ".join(words[:100]) + prose) == []
+
+
+def exhaustive(text, step=1):
+    """The licenses of a text by trying each stretch of words as a whole against each full-length template."""
+    words = licenses.flat_words(text)
+    out = set()
+    for t in licenses.templates()[0]:
+        for begin in range(0, len(words), 1 if t.exact else step):
+            if t.exact:
+                out |= {t.name} if words[begin : begin + len(t.words)] == t.words else set()
+                continue
+            for end in range(min(len(words), begin + int(t.need)), len(words) + 1, step):
+                pairs = [(i + begin, j) for i, j in licenses.settled(licenses.align(words[begin:end], t.words))]
+                if t.holds(words, pairs):
+                    out.add(t.name)
+                    break
+            if t.name in out:
+                break
+    return out
+
+
+def test_a_scan_finds_what_trying_each_stretch_finds():
+    rnd = random.Random(12)
+    noise = "the of software and any license to use public word copy notice other free general".split()
+    for _ in range(12):
+        name = rnd.choice(["ISC", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"])
+        words = [w for w in full_text(name).split() if rnd.random() > rnd.choice([0.0, 0.05, 0.25])]
+        for _ in range(rnd.randint(0, 12)):
+            words.insert(rnd.randrange(len(words)), rnd.choice(noise))
+        text = " ".join([*rnd.choices(noise, k=rnd.randint(0, 15)), *words, *rnd.choices(noise, k=rnd.randint(0, 15))])
+        found, tried = set(names(text)), exhaustive(text, 5)
+        assert found <= tried and (found or not tried), text
