@@ -22,8 +22,6 @@ from lakeloom.llm.common import over_texts, table, written
 FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of doc_id.
 MAX_LABELLED = 20_000
-#: Words in the model at most, the most telling first. The sample bounds them too.
-MAX_TERMS = 20_000
 
 
 @dataclass
@@ -79,8 +77,8 @@ def evidence(raw: bytes | None, model: Model) -> tuple[int, list[tuple[int, int,
     return len(words), [x for x in made if x[2] >= least]
 
 
-def features(raw: bytes | None, model: Model) -> tuple[float, float, float]:
-    n, found = evidence(raw, model)
+def features(n: int, found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+    """What the regression reads of evidence()."""
     if not found:
         return 0.0, 0.0, 0.0
     total = sum(s for _, _, s in found)
@@ -120,8 +118,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = 500.0, z: float = 5.0) -> Model:
     """The model from the labelled rows that aren't held out; null labels and ids and labels without text are skipped.
 
-    Words whose presence depends on the label (signed root of the likelihood ratio at least `z`) are kept, weighted by
-    their log-odds under a Dirichlet prior of `prior` words at the sample's frequencies. If a doc_id has several
+    All words whose presence depends on the label (signed root of the likelihood ratio at least `z`) are kept, as many as
+    a sample of that size has, weighted by their log-odds under a Dirichlet prior of `prior` words at the sample's frequencies. If a doc_id has several
     labels, the highest counts. One class alone, or no rows, give a model that scores all texts alike.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -132,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
     # At most some tens of thousands of rows of two numbers by the bound above: safe to broadcast.
     chosen = written(rows, "labelled")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    # One text for each labelled id, so that rows which repeat an id don't make the sample larger than its bound.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     sample = written(sample.select("toxic", "text"), "sample")
     counted = over_texts(sample, ["toxic", "text!"], "token binary, toxic_n long, clean_n long", _counts)
     counted = written(counted.groupBy("token").agg(F.sum("toxic_n").alias("t"), F.sum("clean_n").alias("c")), "tokens")
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
     root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(F.col("t"), share) + part(F.col("c"), 1 - share))))
     terms = (
         counted.select("token", "c", a.alias("a"), odds.alias("w"), root.alias("z")).where((F.col("z") >= z) & (F.abs("w") >= 0.7))
-        .orderBy(F.desc("z"), "token").limit(MAX_TERMS).collect()
+        .orderBy(F.desc("z"), "token").collect()
     )
     model = Model(weights={bytes(r["token"]): r["w"] for r in terms})
     freq = np.array([(r["c"] + r["a"]) / (clean_all + prior) for r in terms])  # in clean texts, under the same prior
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
 
 
 def _features(toxic: list, texts: list, model: Model) -> list:
-    return [toxic, *map(list, zip(*[features(t, model) for t in texts], strict=True))] if toxic else [[], [], [], []]
+    return [toxic, *map(list, zip(*[features(*evidence(t, model)) for t in texts], strict=True))] if toxic else [[], [], [], []]
 
 
 def spans(raw: bytes, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -188,8 +188,8 @@ def spans(raw: bytes, found: list[tuple[int, int, float]]) -> list[tuple[int, in
 def _scores(ids: list, texts: list, model: Model) -> list:
     out: list[list] = [ids, [], [], [], []]
     for raw in texts:
-        _, found = evidence(raw, model)
-        p = probability(features(raw, model), model.line)
+        n, found = evidence(raw, model)
+        p = probability(features(n, found), model.line)
         out[1].append(p)
         out[2].append(int(p >= 0.5))
         out[3].append(len(found))
