@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import n_words, quoted, table, written
+from lakeloom.llm.common import fresh, n_words, quoted, table, written
 
 #: Documents settled in one group, about, on each level of the tree.
 FAN = 48
@@ -167,28 +167,30 @@ def mixed(docs: DataFrame, source: str = "source", share: float = 1.5, limit: fl
 def remix(docs: DataFrame, source: str = "source", share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; the one of each source taken in part has its first words.
 
-    n_chars, if there, follows the text. Rows without words are left out, as no target counts them.
+    n_chars, if there, follows the text. Rows without words are left out, as no target counts them. Other columns come
+    out as they are, whatever their names; an empty table stays empty.
     """
     sizes = written(sized(docs, source), "sizes")
+    id_, salt, takes, size, at, part = fresh(docs, "__id", "__salt", "__takes", "__size", "__at", "__part")
     marks = copies(sizes, share, limit).where("taken > 0").groupBy("doc_id", "salt").agg(
-        F.sort_array(F.collect_list("taken"), asc=False).alias("__takes"), F.max("size").alias("__size")
+        F.sort_array(F.collect_list("taken"), asc=False).alias(takes), F.max("size").alias(size)
     )
-    marks = written(marks.select(F.col("doc_id").alias("__id"), F.col("salt").alias("__salt"), "__takes", "__size"), "takes")
+    marks = written(marks.select(F.col("doc_id").alias(id_), F.col("salt").alias(salt), takes, size), "takes")
     text = F.xxhash64("text")
     # Repeated rows are counted first, so that each take is given out once whichever of them comes first.
-    rows = docs.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id", text).orderBy("doc_id"))) if _repeats(sizes) else docs.withColumn("__at", F.lit(1))
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (text == F.col("__salt")))
-    take = F.get("__takes", F.col("__at") - 1)
-    whole = F.floor(F.coalesce(take, F.lit(0)) / F.col("__size"))
-    rest = F.coalesce(take, F.lit(0)) - whole * F.col("__size")
+    rows = docs.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", text).orderBy("doc_id")) if _repeats(sizes) else F.lit(1))
+    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col(id_)) & (text == F.col(salt)))
+    take = F.get(takes, F.col(at) - 1)
+    whole = F.floor(F.coalesce(take, F.lit(0)) / F.col(size))
+    rest = F.coalesce(take, F.lit(0)) - whole * F.col(size)
     first_words = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.greatest(rest.cast("int"), F.lit(1))), " ")
     pieces = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__part", F.explode(pieces))
-    fresh = {"text": F.when(F.col("__part") > 0, first_words).otherwise(F.col("text"))}
+    out = joined.withColumn(part, F.explode(pieces))
+    changed = {"text": F.when(F.col(part) > 0, first_words).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        size = docs.schema["n_chars"].dataType
-        fresh["n_chars"] = F.when(F.col("__part") > 0, F.length(first_words).cast(size)).otherwise(F.col("n_chars"))
-    return out.select(*[fresh[c].alias(c) if c in fresh else quoted(c) for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col(part) > 0, F.length(first_words).cast(kind)).otherwise(F.col("n_chars"))
+    return out.select(*[changed[c].alias(c) if c in changed else quoted(c) for c in docs.columns])
 
 
 def _repeats(sizes: DataFrame) -> bool:

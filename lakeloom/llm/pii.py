@@ -325,13 +325,18 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data masked in text, and n_chars, if there, set to the new length. Other columns stay."""
+    """docs with personal data masked in text, and n_chars, if there, set to the new length.
+
+    Null texts stay null. Other columns come out as they are, whatever their names; repeated rows repeat; an empty
+    table stays empty. Texts are whole in a worker, one batch at a time.
+    """
     import pyarrow as pa
 
     from lakeloom.llm.common import tune
 
     tune(docs.sparkSession)
-    schema, names = docs.schema, docs.columns
+    names = docs.columns
+    plain_names = docs.toDF(*[f"c{i}" for i in range(len(names))])  # dots in names would be read as paths
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -346,7 +351,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[j] = pa.array(changed, type=columns[j].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return plain_names.mapInArrow(run, plain_names.schema).toDF(*names)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

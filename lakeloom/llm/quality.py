@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import over_texts, quoted, table, written
+from lakeloom.llm.common import fresh, over_texts, quoted, table, written
 
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 WINDOW = 8
@@ -122,10 +122,12 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that are kept. Counting and verdicts take one pass each; the rows then go by doc_id.
 
     Rows that share a doc_id go or stay together: they stay if one of them is kept. Null ids are matched to each other.
+    All columns come out as they are, whatever their names; an empty table stays empty.
     """
+    [name] = fresh(docs, "__bad")
     bad = judged(docs, host).groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any")
-    bad = written(bad.select(F.col("doc_id").alias("__bad")), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = written(bad.select(F.col("doc_id").alias(name)), "rejected")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
