@@ -47,9 +47,10 @@ def differs(a: Column, b: Column, tolerance: str = "0.01") -> Column:
 
 
 def csv_text(c: Column, kind: str) -> Column:
-    """A value as the CSV export writes it; null becomes empty."""
+    """A value as the CSV export writes it; null becomes empty. Fractions of seconds are written where there are any."""
+    whole, parts = F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.date_format(c, "SSSSSS")
     text = {
-        "timestamp": lambda: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
+        "timestamp": lambda: F.when(parts == "000000", whole).otherwise(F.concat(whole, F.lit("."), parts)),
         "date": lambda: F.date_format(c, "yyyy-MM-dd"),
         "boolean": lambda: F.when(c, "true").when(~c, "false"),
     }.get(kind, lambda: c.cast("string"))()

@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from lakeloom.config import RunContext
 from lakeloom.operators.silver import latest
+from lakeloom.specs import EntitySpec
 
 WATERMARKS = StructType([
     StructField("source_table", StringType(), False), StructField("last_successful_watermark", TimestampType()),
@@ -24,17 +25,22 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], by: Sequ
     return latest(current.unionByName(changes, allowMissingColumns=True), keys, by)
 
 
-def scd2(changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str = "updated_at") -> DataFrame:
+def scd2(changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str = "updated_at", deleted: str | None = None) -> DataFrame:
     """Versions: a row for each change of a tracked column, valid from effective_from until before effective_to.
 
-    Of several rows of a key at one time the greatest by its tracked columns counts.
+    Of several rows of a key at one time the greatest by its tracked columns counts. deleted names a flag: a row that
+    has it set closes the version before it and opens none, so a deleted key has no current version until it comes
+    back; at one time a deletion counts before other rows. A null flag is no deletion.
     """
-    once = changes.groupBy(*keys, at).agg(F.max(F.struct(*tracked)).alias("__v"))
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    # A deletion has no values, so that one after another is no change.
+    values = [F.when(~gone, F.col(c)).alias(c) for c in tracked]
+    once = changes.groupBy(*keys, at).agg(F.max(F.struct(gone.alias("__gone"), *values)).alias("__v"))
     order = Window.partitionBy(*keys).orderBy(at)
     before = F.lag("__v").over(order)
     first = F.row_number().over(order) == 1
     marked = once.withColumn("__new", first | ~F.col("__v").eqNullSafe(before)).where("__new")
-    versions = marked.withColumn("effective_to", F.lead(at).over(order))
+    versions = marked.withColumn("effective_to", F.lead(at).over(order)).where(~F.col("__v.__gone"))
     return versions.select(
         F.xxhash64(*keys, at).alias("surrogate_key"), *keys, *[F.col(f"__v.{c}").alias(c) for c in tracked],
         F.col(at).alias("effective_from"), "effective_to", F.col("effective_to").isNull().alias("is_current"),
@@ -68,6 +74,11 @@ def watermark_rows(df: DataFrame, source_table: str, run: RunContext, column: st
     )
 
 
+def read_watermark(rows: DataFrame, low: datetime | None) -> DataFrame:
+    """Control rows of a load without rows keep the watermark that it began at."""
+    return rows.withColumn("last_successful_watermark", F.coalesce("last_successful_watermark", F.lit(low).cast("timestamp")))
+
+
 def last_watermark(spark: SparkSession, table: str, source_table: str) -> datetime | None:
     rows = spark.table(table).where((F.col("source_table") == source_table) & (F.col("run_status") == "success"))
     return rows.agg(F.max("last_successful_watermark")).first()[0]
@@ -81,6 +92,16 @@ def bronze_validation(df: DataFrame) -> DataFrame:
     )
 
 
+#: Types of a source's columns that hold a value of each kind; text holds them all.
+HOLDS = {
+    "long": ("tinyint", "smallint", "int", "bigint"), "int": ("tinyint", "smallint", "int"), "money": ("decimal", "int", "bigint"),
+    "date": ("date",), "timestamp": ("timestamp", "timestamp_ntz"), "boolean": ("boolean",),
+}
+AUDIT = StructType([
+    StructField(c, StringType()) for c in ("source_table", "run_id", "change", "column_name", "found_type", "action")
+] + [StructField("audited_at", TimestampType())])
+
+
 def schema_diff(expected: StructType, found: StructType) -> dict[str, list[str]]:
     """Columns added, removed and retyped; only additions are compatible."""
     old, new = ({f.name: f.dataType.simpleString() for f in s} for s in (expected, found))
@@ -90,5 +111,24 @@ def schema_diff(expected: StructType, found: StructType) -> dict[str, list[str]]
     }
 
 
+def source_diff(spec: EntitySpec, found: StructType) -> dict[str, list[str]]:
+    """schema_diff() of what a source should have and what it has: text, or a type that holds a column's values."""
+    types = {f.name: f.dataType.simpleString() for f in found}
+    as_asked = [c.name for c in spec.columns if types.get(c.name, "").split("(")[0] in ("string", *HOLDS.get(c.kind, ()))]
+    seen = StructType([StructField(f.name, StringType()) if f.name in as_asked else f for f in found])
+    return schema_diff(spec.raw_schema, seen)
+
+
 def compatible(diff: dict[str, list[str]]) -> bool:
     return not diff["removed"] and not diff["retyped"]
+
+
+def audit_rows(spark: SparkSession, spec: EntitySpec, found: StructType, run: RunContext) -> DataFrame:
+    """A row for each change of a source's columns: added ones are let in, the others wait for a review."""
+    types = {f.name: f.dataType.simpleString() for f in found}
+    diff = source_diff(spec, found)
+    rows = [
+        (spec.source_table, run.run_id, change, c, types.get(c), "accepted" if change == "added" else "review", run.at)
+        for change, columns in diff.items() for c in columns
+    ]
+    return spark.createDataFrame(rows, AUDIT)

@@ -38,9 +38,9 @@ def silver(raw: DataFrame, spec: EntitySpec, run: RunContext) -> DataFrame:
 
 
 def coercion_losses(raw: DataFrame, spec: EntitySpec) -> DataFrame:
-    """One row: for each column how many texts couldn't be read."""
+    """One row: for each column how many texts couldn't be read, and __n, the rows."""
     lost = [
         F.count_if(F.col(c.name).isNotNull() & convert(c.name, c.kind).isNull()).alias(c.name)
         for c in spec.columns if c.kind not in ("text", "lower")
     ]
-    return raw.agg(*lost)
+    return raw.agg(F.count("*").alias("__n"), *lost)

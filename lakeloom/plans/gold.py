@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import date_key
+from lakeloom.operators import history
 
-CUSTOMER = "customer_id first_name last_name email city country segment signup_date updated_at is_deleted".split()
-PRODUCT = "product_id sku product_name category unit_price product_status is_deleted".split()
+CUSTOMER = ("customer_id", "first_name", "last_name", "email", "city", "country", "segment", "signup_date", "updated_at", "is_deleted")
+PRODUCT = ("product_id", "sku", "product_name", "category", "unit_price", "product_status", "is_deleted")
 
 
 def dim_customers(customers: DataFrame) -> DataFrame:
     return customers.select(F.col("customer_id").alias("customer_key"), *CUSTOMER)
 
 
+def dim_customers_history(changes: DataFrame) -> DataFrame:
+    """Versions of customers by segment; a deletion closes the last one."""
+    return history.scd2(changes, ["customer_id"], ["segment"], deleted="is_deleted")
+
+
 def dim_products(products: DataFrame) -> DataFrame:
     return products.select(F.col("product_id").alias("product_key"), *PRODUCT)
 
@@ -38,10 +44,16 @@ def fact_sales(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def agg_daily_sales(fact: DataFrame, products: DataFrame) -> DataFrame:
-    """Sales per day, current category and channel. total_orders is a distinct count and doesn't add up over groups."""
+    """Sales per day, current category and channel. total_orders is a distinct count and doesn't add up over groups.
+
+    Lines are summed per order and group first: where the fact comes from a join by order that needs no shuffle of its
+    own, and the orders of a group are then counted like any other sum.
+    """
     dims = products.select(F.col("product_key").alias("product_id"), "category")
-    return fact.select("product_id", "date_key", "sales_channel", "order_id", "quantity", "revenue").join(dims, "product_id").groupBy("date_key", "category", "sales_channel").agg(
-        F.countDistinct("order_id").alias("total_orders"), F.sum("quantity").alias("total_items_sold"), F.sum("revenue").alias("total_revenue")
+    lines = fact.select("product_id", "date_key", "sales_channel", "order_id", "quantity", "revenue").join(dims, "product_id")
+    per_order = lines.groupBy("order_id", "date_key", "category", "sales_channel").agg(F.sum("quantity").alias("q"), F.sum("revenue").alias("r"))
+    return per_order.groupBy("date_key", "category", "sales_channel").agg(
+        F.count("order_id").alias("total_orders"), F.sum("q").alias("total_items_sold"), F.sum("r").alias("total_revenue")
     )
 
 

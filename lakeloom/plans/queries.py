@@ -16,7 +16,7 @@ from lakeloom.operators import history, quality, silver
 from lakeloom.plans import gold
 from lakeloom.plans.adapter import VIEWS, customers, order_items, orders, payments, products, table
 from lakeloom.sources.readers import between_watermarks, with_lineage
-from lakeloom.specs import ForeignKey
+from lakeloom.specs import ColumnRule, EntitySpec, ForeignKey
 from lakeloom.streaming import clickstream
 
 RUN = RunContext("00000000-0000-0000-0000-000000000000", datetime(2026, 1, 1, tzinfo=timezone.utc))
@@ -177,7 +177,8 @@ def dq_referential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(" UNION ALL ".join(_NULL_SQL + _UNIQUE_SQL + _FK_SQL))
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _union([dq_nulls(spark, sf_dir), dq_unique(spark, sf_dir), dq_referential(spark, sf_dir)])
+    rules = {n: quality.KeyRules(_KEYS[n], cs, tuple(k for c, k in _FKS if c == n)) for n, (_, cs) in _NULLS.items()}
+    checks = quality.key_checks({n: f(spark, sf_dir) for n, f in _FRAMES.items()}, rules)
     return quality.with_run(checks, RUN).select(*quality.SHORT)
 
 
@@ -200,6 +201,22 @@ def dq_payment_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.payment_mismatches(payments(spark, sf_dir), orders(spark, sf_dir))
 
 
+_CONSISTENT = [
+    ("orders", "order_total_matches_items", "count(*) FILTER (WHERE abs(order_total - coalesce(t, 0)) > 0.01)", "met"),
+    ("orders", "order_has_items", "count(*) FILTER (WHERE has IS NULL)", "met"),
+    ("payments", "payment_matches_order_total", "count(*) FILTER (WHERE abs(p.amount - o.order_total) > 0.01)", "pays p JOIN ords o ON p.order_id = o.order_id"),
+    ("order_items", "line_total_matches_quantity", "count(*) FILTER (WHERE abs(line_total - quantity * unit_price) > 0.01)", "items"),
+]
+
+
+@_query(""", met AS (SELECT o.order_id, o.order_total, s.t, s.has FROM ords o LEFT JOIN
+  (SELECT order_id, sum(line_total) AS t, true AS has FROM items WHERE NOT is_deleted GROUP BY order_id) s ON o.order_id = s.order_id) """
+  + " UNION ALL ".join(_CHECK.format(t=t, n=n, k="consistency_check", bad=bad, all="count(*)", s="failed", f=f) for t, n, bad, f in _CONSISTENT))
+def dq_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.consistency_checks(orders(spark, sf_dir), order_items(spark, sf_dir), payments(spark, sf_dir))
+    return quality.with_run(made, RUN).select(*quality.SHORT)
+
+
 @_query("""SELECT 'accepted_product_status' AS check_name, count(*) FILTER (WHERE product_status NOT IN ('active', 'inactive')) AS failed_rows,
   count(*) AS total_rows FROM products""")
 def dq_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +235,21 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select("order_id", "order_status", "updated_at").orderBy(F.desc("updated_at"), "order_id").limit(10)
 
 
+@_query("SELECT payment_id, order_id, amount, payment_date, updated_at FROM pays ORDER BY updated_at DESC, payment_id LIMIT 10")
+def latest_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = payments(spark, sf_dir).select("payment_id", "order_id", "amount", "payment_date", "updated_at")
+    return rows.orderBy(F.desc("updated_at"), "payment_id").limit(10)
+
+
+@_query("""SELECT c.customer_id, c.first_name, c.last_name, c.segment, max(o.updated_at) AS updated_at FROM customers c JOIN ords o
+  ON c.customer_id = o.customer_id GROUP BY ALL ORDER BY updated_at DESC, customer_id LIMIT 10""")
+def latest_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's customers have no time of change; their last order's stands for it."""
+    seen = orders(spark, sf_dir).groupBy("customer_id").agg(F.max("updated_at").alias("updated_at"))
+    rows = customers(spark, sf_dir).drop("updated_at").join(seen, "customer_id")
+    return rows.select("customer_id", "first_name", "last_name", "segment", "updated_at").orderBy(F.desc("updated_at"), "customer_id").limit(10)
+
+
 @_query("SELECT product_id, sku, product_status, is_deleted FROM products WHERE is_deleted OR product_status = 'discontinued'")
 def removed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).where(F.col("is_deleted") | (F.col("product_status") == "discontinued")).select("product_id", "sku", "product_status", "is_deleted")
@@ -280,6 +312,38 @@ def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.as_of(facts, past, "customer_id", "order_date", ["last_status"])
 
 
+@_query(""", changes AS (SELECT customer_id, updated_at, bool_or(is_deleted) AS gone, max(CASE WHEN is_deleted THEN NULL ELSE order_status END) AS st,
+  FROM ords GROUP BY ALL), clean AS (SELECT customer_id, updated_at, gone, CASE WHEN gone THEN NULL ELSE st END AS order_status FROM changes),
+marked AS (SELECT *, lag(order_status) OVER w AS before, lag(gone) OVER w AS was, row_number() OVER w AS rn FROM clean WINDOW w AS (PARTITION BY customer_id ORDER BY updated_at)),
+steps AS (SELECT * FROM marked WHERE rn = 1 OR order_status IS DISTINCT FROM before OR gone IS DISTINCT FROM was),
+versions AS (SELECT customer_id, order_status, gone, updated_at AS effective_from, lead(updated_at) OVER (PARTITION BY customer_id ORDER BY updated_at) AS effective_to FROM steps)
+SELECT customer_id, order_status, effective_from, effective_to, effective_to IS NULL AS is_current FROM versions WHERE NOT gone""")
+def scd2_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As scd2_history, but a deleted order closes its customer's version."""
+    rows = orders(spark, sf_dir).select("customer_id", "order_status", "updated_at", "is_deleted")
+    return history.scd2(rows, ["customer_id"], ["order_status"], deleted="is_deleted").drop("surrogate_key")
+
+
+@_query(""", raw AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN 'abc' ELSE CAST(c_acctbal AS VARCHAR) END AS b,
+  CASE WHEN c_custkey % 7 = 0 THEN 'yes' ELSE 'true' END AS f FROM customer)
+SELECT 'customers' AS table_name, 'coercion_balance' AS check_name, count(*) FILTER (WHERE k % 13 = 0) AS failed_rows, count(*) AS total_rows FROM raw
+UNION ALL SELECT 'customers', 'coercion_flag', count(*) FILTER (WHERE f = 'yes'), count(*) FROM raw""")
+def dq_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = table(spark, sf_dir, "customer").select(
+        F.when(k % 13 == 0, "abc").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.when(k % 7 == 0, "yes").otherwise("true").alias("flag"), F.col("c_name").alias("name")
+    )
+    spec = EntitySpec("customers", "", "", (ColumnRule("balance", "money"), ColumnRule("flag", "boolean"), ColumnRule("name", "text")), ())
+    return quality.coercion_checks(raw, spec).select("table_name", "check_name", "failed_rows", "total_rows")
+
+
+@_query("""SELECT 'customers' AS table_name, 'duplicate_source_key' AS check_name, count(*) - count(DISTINCT customer_id) AS failed_rows, count(*) AS total_rows FROM ords""")
+def dq_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of their customers: how many keys have several before the latest is chosen."""
+    spec = EntitySpec("customers", "", "customer_id", (), ())
+    return quality.source_key_check(orders(spark, sf_dir), spec).select("table_name", "check_name", "failed_rows", "total_rows")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id"), F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").alias("customer_id"), "event_type"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakeloom.functions.columns import csv_text
 from lakeloom.specs import EntitySpec
@@ -31,7 +32,33 @@ def replace_read_table(spark: SparkSession, df: DataFrame, table: str, fmt: str
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
 
 
-def export_csv(df: DataFrame, path: str, spec: EntitySpec) -> None:
-    """Text as the source exports it, sorted by key for stable files. Null and empty can't be told apart there."""
+def export_csv(df: DataFrame, path: str, spec: EntitySpec) -> int:
+    """Text as the source exports it, sorted by key for stable files; gives the number of rows.
+
+    Null and empty can't be told apart there.
+    """
     texts = [csv_text(F.col(c.name), c.kind).alias(c.name) for c in spec.columns]
-    df.orderBy(spec.key).select(*texts).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    seen = Observation()
+    rows = df.orderBy(spec.key).select(*texts).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    return seen.get["n"]
+
+
+def as_text(df: DataFrame, spec: EntitySpec) -> DataFrame:
+    """A source's columns as text, as its extract would have them; nulls stay null, columns of no rule are cast."""
+    kinds = {c.name: c.kind for c in spec.columns}
+    out = []
+    for f in df.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        text = c if f.dataType == StringType() else F.when(c.isNotNull(), csv_text(c, kinds.get(f.name, "text")))
+        out.append(text.alias(f.name))
+    return df.select(*out)
+
+
+def grow(spark: SparkSession, df: DataFrame, table: str, fmt: str = "parquet") -> None:
+    """append(), for rows that may have columns which the table lacks: then it is written anew, with nulls in old rows."""
+    known = spark.table(table)
+    if set(df.columns) <= set(known.columns):
+        append(df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns]), table, fmt)
+    else:
+        replace_read_table(spark, known.unionByName(df, allowMissingColumns=True), table, fmt)

@@ -49,13 +49,23 @@ def test_silver_types_and_latest_row(spark, lake):
 
 
 def test_quality_run(spark, lake):
-    rows = {(r.table_name, r.check_name): r for r in spark.table(lake[0].table("control", "data_quality_results")).collect()}
-    assert len(rows) == 42
+    found = spark.table(lake[0].table("control", "data_quality_results")).collect()
+    rows = {(r.table_name, r.check_name): r for r in found}
+    assert len(rows) == len(found)
+    kinds = [r.check_type for r in found if r.check_name != "duplicate_source_key"]
+    assert sum(k in ("null_check", "uniqueness_check", "referential_integrity") for k in kinds) == 42
+    assert kinds.count("consistency_check") == 4 and kinds.count("accepted_values") == 9 and kinds.count("range_check") == 5
     assert rows["payments", "null_payment_date"].check_status == "warning"
     assert rows["orders", "customer_id_references_customers"].failed_rows == 1  # customer 2 is deleted, order 102 as well
     assert rows["order_items", "order_id_references_orders"].failed_rows == 1  # the item of a deleted order
     assert rows["order_items", "product_id_references_products"].failed_rows == 0  # deleted products still count
     assert rows["orders", "duplicate_primary_key"].check_status == "passed"
+    assert (rows["customers", "duplicate_source_key"].failed_rows, rows["customers", "duplicate_source_key"].check_status) == (1, "warning")
+    assert (rows["customers", "coercion_signup_date"].failed_rows, rows["customers", "coercion_signup_date"].total_rows) == (1, 3)
+    assert rows["orders", "coercion_order_total"].check_status == "passed"
+    assert rows["orders", "order_total_matches_items"].failed_rows == 1  # 102; 9.01 against 9.00 passes
+    assert rows["orders", "order_has_items"].failed_rows == 0 and rows["payments", "payment_matches_order_total"].failed_rows == 1
+    assert rows["customers", "accepted_country"].failed_rows == 0 and rows["order_items", "range_quantity"].total_rows == 4
 
 
 def test_kpis_and_gold(spark, lake):
@@ -89,6 +99,99 @@ def test_second_batch_is_merged_and_idempotent(spark, lake):
         assert got == {500: "approved", 501: "approved", 502: "approved"}
 
 
+def raw_rows(spark, name, *rows):
+    return spark.createDataFrame([tuple(r) for r in rows], ENTITIES[name].raw_schema)
+
+
+def test_increments_by_watermark(spark, tmp_path_factory):
+    """Two batches after the first load: windows, late rows, a new column, a lost one, reruns."""
+    config = LakeConfig("b_inc", "s_inc", "g_inc", "c_inc", landing=fixtures.write(tmp_path_factory.mktemp("inc")))
+    pipeline.run_pipeline(spark, config, RUN)
+    control = config.table("control", "ingestion_watermarks")
+    before = history.last_watermark(spark, control, "dbo.Payments")
+    assert before == datetime(2025, 2, 2, 12, 5)
+    payments = raw_rows(
+        spark, "payments",
+        ("501", "101", "cash", "approved", "3.50", "2025-02-05 10:00:00", "2025-02-02 12:00:00", "2025-02-05 10:00:00", "false"),
+        ("500", "100", "pse", "rejected", "9.00", None, "2025-02-01 12:00:00", "2025-02-02 12:05:00", "false"),  # not after the watermark
+        ("503", "100", "cash", "approved", "1.00", None, "2026-02-01 12:00:00", "2026-02-02 12:05:00", "false"),  # after the run's time
+    )
+    customers = raw_rows(spark, "customers", ("2", "Luis", "P", "l@e.com", None, "Lima", "PE", "Regular", "2025-01-02", "2025-01-02 10:00:00", "2025-03-05 10:00:00", "false"))
+    typed = customers.withColumns({"customer_id": F.col("customer_id").cast("int"), "updated_at": F.col("updated_at").cast("timestamp"), "is_deleted": F.lit(False)})
+    second = RunContext("run-2", datetime(2025, 6, 1, tzinfo=timezone.utc))
+    kpis = pipeline.run_increment(spark, config, {"payments": payments, "customers": typed.withColumn("loyalty", F.lit(7))}, second).first()
+    assert kpis.total_orders == 2
+    got = {r.payment_id: r.payment_status for r in spark.table(config.table("silver", "payments")).collect()}
+    assert got == {500: "approved", 501: "approved"}
+    assert one(spark, config, "silver", "customers", "customer_id = 2").segment == "Regular"
+    assert [r.loyalty for r in spark.table(config.table("bronze", "customers")).where("customer_id = '2'").orderBy("_ingested_at").collect()] == [None, "7"]
+    assert "loyalty" not in spark.table(config.table("silver", "customers")).columns
+    assert history.last_watermark(spark, control, "dbo.Payments") == datetime(2025, 2, 5, 10)
+    row = spark.table(control).where("last_run_id = 'run-2' AND source_table = 'dbo.Payments'").collect()
+    assert [r.rows_read for r in row] == [1]
+    audit = spark.table(config.table("control", "schema_audit")).collect()
+    assert [(r.source_table, r.change, r.column_name, r.action) for r in audit] == [("dbo.Customers", "added", "loyalty", "accepted")]
+    past = {(r.customer_id, r.segment, r.is_current) for r in spark.table(config.table("gold", "dim_customers_history")).collect()}
+    assert past == {(1, "Regular", False), (1, "Premium", True), (2, "Regular", True)}  # 2 was deleted and came back
+    # The same again reads nothing and changes nothing; the watermark stays.
+    third = RunContext("run-3", datetime(2025, 6, 2, tzinfo=timezone.utc))
+    pipeline.run_increment(spark, config, {"payments": payments}, third)
+    assert {r.payment_id: r.payment_status for r in spark.table(config.table("silver", "payments")).collect()} == got
+    assert history.last_watermark(spark, control, "dbo.Payments") == datetime(2025, 2, 5, 10)
+    assert spark.table(control).where("last_run_id = 'run-3'").first().rows_read == 0
+    # A lost or retyped column is audited and stops the load before anything is written.
+    rows = spark.table(config.table("bronze", "payments")).count()
+    late = RunContext("run-4", datetime(2026, 6, 1, tzinfo=timezone.utc))
+    for bad in (payments.drop("amount"), payments.withColumn("payment_id", F.lit(1.5))):
+        with pytest.raises(pipeline.SchemaReview):
+            pipeline.run_increment(spark, config, {"payments": bad}, late)
+    assert spark.table(config.table("bronze", "payments")).count() == rows
+    assert spark.table(control).where("last_run_id = 'run-4'").count() == 0
+    changes = {(r.change, r.column_name, r.action) for r in spark.table(config.table("control", "schema_audit")).where("run_id = 'run-4'").collect()}
+    assert changes == {("removed", "amount", "review"), ("retyped", "payment_id", "review")}
+
+
+def test_all_entities_are_exported_with_counts(spark, lake, tmp_path):
+    assert pipeline.export_all(spark, lake[0], str(tmp_path / "all")) == {
+        "customers": 2, "products": 2, "orders": 3, "order_items": 4, "payments": 2, "support_tickets": 1,
+    }
+    spec = ENTITIES["customers"]
+    back = silver.typed(readers.read_csv(spark, str(tmp_path / "all" / "customers"), spec.raw_schema), spec).where("customer_id = 1").first()
+    assert back.updated_at.microsecond == 123000  # fractions of seconds survive the round trip
+
+
+def test_key_checks_are_the_single_rules(spark):
+    parents = spark.createDataFrame([(1, "a", False), (1, None, False), (2, "b", True), (None, None, None), (None, "x", False)], "id long, v string, is_deleted boolean")
+    children = spark.createDataFrame([(10, 1, None), (11, 99, False), (12, None, False), (13, 2, False), (14, 99, True), (14, 1, False)], "c long, fk int, is_deleted boolean")
+    other = ForeignKey("fk", "p", live_parent=False)
+    rules = {"p": quality.KeyRules("id", ("id", "v")), "t": quality.KeyRules("c", ("c", "fk"), (ForeignKey("fk", "p"),)), "u": quality.KeyRules("c", ("fk",), (other,))}
+    for some in (1.0, 0.0):
+        tables = {"p": parents.limit(int(5 * some)), "t": children, "u": children.limit(int(6 * some))}
+        want = [quality.null_checks(tables[n], n, r.required) for n, r in rules.items()] + [quality.unique_check(tables[n], n, [r.key]) for n, r in rules.items()]
+        want += [quality.referential_check(tables[n], tables["p"], n, k, "id") for n, r in rules.items() for k in r.references]
+        assert sorted(map(tuple, quality.key_checks(tables, rules).collect())) == sorted(tuple(r) for w in want for r in w.collect())
+    plan = quality.key_checks(tables, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Expand") + plan.count("Generate") <= 4
+
+
+def test_deletions_close_versions(spark):
+    rows = [(1, "a", 1, False), (1, "a", 3, True), (1, "b", 4, True), (1, "a", 6, None), (2, "x", 1, True), (3, "y", 1, False), (3, "z", 1, True)]
+    past = history.scd2(spark.createDataFrame(rows, "k int, s string, updated_at int, is_deleted boolean"), ["k"], ["s"], deleted="is_deleted")
+    assert sorted(map(tuple, past.drop("surrogate_key").collect()), key=str) == [(1, "a", 1, 3, False), (1, "a", 6, None, True)]
+
+
+def test_large_extracts_are_refused_where_one_task_would_read_them(spark, lake):
+    path = f"{lake[0].landing}/orders.csv"
+    with pytest.raises(ValueError, match="line_breaks=False"):
+        readers.read_csv(spark, path, ENTITIES["orders"].raw_schema, largest=10)
+    assert readers.read_csv(spark, path, ENTITIES["orders"].raw_schema, line_breaks=False, largest=10).count() == 3
+
+
+def test_jdbc_reads_may_take_long_but_connect_soon():
+    made = readers.jdbc_read_options("t", {"url": "u"}, "id", (1, 9))
+    assert made["loginTimeout"] == "60" and "queryTimeout" not in made and made["numPartitions"] == "8"
+
+
 @pytest.mark.parametrize(("text", "expected"), [("TRUE", True), ("1", True), ("0", False), ("False", False), (" true", None), ("yes", None), (None, None)])
 def test_boolean(spark, text, expected):
     assert spark.createDataFrame([(text,)], "x string").select(to_boolean("x")).first()[0] is expected
@@ -107,6 +210,7 @@ def test_conversions(spark, kind, text, expected):
 def test_coercion_losses(spark):
     raw = spark.createDataFrame([("1", "a", "x", "bad", "1", "S", "2025-01-01 00:00:00", "no", "false")], ENTITIES["order_items"].raw_schema)
     got = silver.coercion_losses(raw, ENTITIES["order_items"]).first().asDict()
+    assert got.pop("__n") == 1
     assert {k for k, v in got.items() if v} == {"order_id", "product_id", "quantity", "line_total", "updated_at"}
 
 
@@ -199,6 +303,8 @@ def test_export_round_trip(spark, lake, tmp_path):
 
 
 def test_csv_text(spark):
+    at = spark.sql("SELECT timestamp'2025-01-02 03:04:05' AS a, timestamp'2025-01-02 03:04:05.12' AS b")
+    assert tuple(at.select(csv_text(F.col("a"), "timestamp"), csv_text(F.col("b"), "timestamp")).first()) == ("2025-01-02 03:04:05", "2025-01-02 03:04:05.120000")
     df = spark.createDataFrame([(Decimal("1.50"), True, None)], "a decimal(18,2), b boolean, c string")
     assert tuple(df.select(csv_text(F.col("a"), "money"), csv_text(F.col("b"), "boolean"), csv_text(F.col("c"), "text")).first()) == ("1.50", "true", "")
 
