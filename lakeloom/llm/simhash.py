@@ -1,15 +1,24 @@
-"""SimHash near-duplicates: pigeonhole blocks find the pairs, the Hamming distance verifies them."""
+"""SimHash near-duplicates: pigeonhole blocks find the pairs, the Hamming distance verifies them.
+
+near_duplicates() links fingerprints of 64 bits that differ in two at most, exactly. keep_one() is for copies that are
+less alike, down to a share of equal word shingles: it compares fingerprints of 256 bits, cut into blocks again and
+again after shuffles of the bits, as many times as the similarity and the size of the corpus ask for.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import over_texts, quoted, table, written
+from lakeloom.llm.common import discard, fresh, over_texts, quoted, table, tune, written
 from lakeloom.llm.components import connected
 
 #: Distinct fingerprints up to which a block is joined pair by pair; larger blocks take the neighbourhood route.
@@ -32,13 +41,29 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         (digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)),
         np.uint64, n,
     )
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts = bit_counts(hashes, np.zeros(1, np.int64))[0]
     return int(sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist()))
 
 
+ONES = np.uint64(0x0101010101010101)
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(stretches, 64): how many hashes of each stretch have each bit. Stretches begin at starts, none is empty.
+
+    Eight bits a byte apart are counted at once, in bytes, which hold the counts of up to 255 hashes.
+    """
+    sizes = np.diff(starts, append=len(hashes))
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    out = np.empty((len(starts), 64), np.int64)
+    for k in range(8):
+        bytes_ = np.add.reduceat(hashes >> np.uint64(k) & ONES, cuts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        out[:, k::8] = np.add.reduceat(bytes_, first, axis=0, dtype=np.int64)
+    return out
+
+
 def _rows(ids: list, texts: list, width: int) -> list:
     made = [fingerprint(t, width) for t in texts]
     return [ids, [f - (1 << 64) if f >> 63 else f for f in made]]
@@ -107,26 +132,273 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     )
 
 
-def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """docs less all but one of each group of near-duplicates: the one with the least doc_id stays.
+# --- less similar copies --------------------------------------------------------------------------------------------
+
+#: Bits of a long fingerprint, in numbers of 64.
+LANES = 4
+BITS = 64 * LANES
+#: Words of a shingle, similarity from which two texts are copies, and the share of such pairs, where they are just as
+#: alike, that must meet in some block.
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
+#: Members of a large block that all others are compared with.
+PIVOTS = 8
+#: Bytes of text that are hashed at once.
+STRETCH = 1 << 20
+ODD, MIXED = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+IS_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+_powers: dict[str, np.ndarray] = {}
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIXED
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers of an odd number modulo 2 ** 64, n at least."""
+    name = str(base)
+    if len(_powers.get(name, ())) < n:
+        _powers[name] = np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+    return _powers[name]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, place of its first byte); words are parted by ASCII blanks. Equal words have equal hashes.
+
+    A word's hash is its bytes as digits to an odd base, from differences of running sums, so no word is taken apart
+    from the text.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(IS_BLANK[raw], prepend=True, append=True))
+    begin, end = edges[::2], edges[1::2]
+    sums = np.append(np.uint64(0), np.cumsum((raw + np.uint64(1)) * _power(ODD, len(raw))[: len(raw)]))
+    return _mix((sums[end] - sums[begin]) * _power(pow(ODD, -1, 1 << 64), len(raw))[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def _shingled(words: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the shingles that start at each word but the last ones; fewer words than a shingle: of them all."""
+    n = max(1, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        out = (out + words[k : k + n]) * MIXED
+        out ^= out >> np.uint64(27)
+    return out
+
+
+def _lanes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    salts = _mix(np.arange(1, LANES + 1, dtype=np.uint64))
+    return np.concatenate([bit_counts(_mix(shingles + s), starts) for s in salts], axis=1)
+
+
+def _packed(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1, LANES)
+
+
+def long_prints(texts: list[bytes | None], width: int = SHINGLE) -> np.ndarray:
+    """(texts, LANES): SimHashes of BITS bits of the word shingles, without regard to case in A-Z; no words: zeros.
+
+    Texts are hashed together up to STRETCH bytes, a longer one in stretches, which hand on their last words.
+    """
+    out = np.zeros((len(texts), LANES), np.uint64)
+    group: list[int] = []
+    size = 0
+    for i, text in enumerate([*texts, None]):
+        if group and (i == len(texts) or size + len(text or b"") > STRETCH):
+            out[group] = _together([texts[j] for j in group], width)
+            group, size = [], 0
+        if not text:
+            continue
+        if len(text) > STRETCH:
+            out[i] = _in_stretches(text, width)
+        else:
+            group.append(i)
+            size += len(text) + 1
+    return out
+
+
+def _together(texts: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(texts), LANES), np.uint64)
+    words, places = word_hashes(b" ".join(texts).lower())
+    bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    cuts = np.searchsorted(places, bounds)
+    counts = np.diff(cuts)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    shingles = [_shingled(words[cuts[i] : cuts[i + 1]], width) for i in some]
+    sizes = np.fromiter(map(len, shingles), np.int64, len(some))
+    out[some] = _packed(_lanes(np.concatenate(shingles), np.cumsum(sizes) - sizes), sizes)
+    return out
+
+
+def _in_stretches(text: bytes, width: int) -> np.ndarray:
+    total, n, carried = np.zeros((1, BITS), np.int64), 0, np.empty(0, np.uint64)
+    at = 0
+    while at < len(text):
+        end = at + STRETCH
+        while end < len(text) and not IS_BLANK[text[end]]:  # a word isn't cut, however long
+            end += 1
+        words = np.append(carried, word_hashes(text[at:end].lower())[0])
+        if len(words) >= width:
+            shingles = _shingled(words, width)
+            total, n = total + _lanes(shingles, np.zeros(1, np.int64)), n + len(shingles)
+        carried, at = words[max(0, len(words) - width + 1) :], end
+    if not n and len(carried):  # fewer words than a shingle
+        total, n = _lanes(_shingled(carried, width), np.zeros(1, np.int64)), 1
+    return _packed(total, np.array([n]))[0] if n else np.zeros(LANES, np.uint64)
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which fingerprints of texts differ whose shingles have that Jaccard similarity.
+
+    Bits are signs of projections: they differ as the angle between the texts' shingle counts goes, whose cosine is
+    2s / (1 + s) for texts of equal length.
+    """
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def largest_distance(similarity: float) -> int:
+    """Bits in which copies may differ: what is expected at the similarity and two standard deviations."""
+    p = differing_share(similarity)
+    return math.floor(BITS * p + 2 * math.sqrt(BITS * p * (1 - p)))
+
+
+def blocking(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a block, blocks) for n fingerprints: blocks as wide that they hold about one text by chance, and as many
+    that a pair which is just similar enough agrees on one at least with a probability of `recall`."""
+    width = max(12, math.ceil(math.log2(max(2, n))))
+    agree = (1 - differing_share(similarity)) ** width
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def _cuts(width: int, blocks: int) -> list[np.ndarray]:
+    """The bits of each block: the fingerprint's bits in a shuffled order, cut into blocks, for as many orders as needed."""
+    out: list[np.ndarray] = []
+    while len(out) < blocks:
+        order = np.argsort(_mix(np.arange(BITS, dtype=np.uint64) + np.uint64(1_000_003 * (len(out) + 1))), kind="stable")
+        out += [order[k : k + width] for k in range(0, BITS - width + 1, width)]
+    return out[:blocks]
+
+
+PRINT = [f"f{i}" for i in range(LANES)]
+
+
+def _keyed(nodes: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(key, node, PRINT): a row for each block of each fingerprint."""
+    kept = ", ".join(f"{c} long" for c in ["key", "node", *PRINT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = _cuts(width, blocks)
+        place = np.left_shift(np.int64(1), np.arange(width, dtype=np.int64))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            bits = np.unpackbits(np.stack(columns[1:], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            keys = np.concatenate([bits[:, cut] @ place + np.int64(i << 48) for i, cut in enumerate(cuts)])
+            made = [keys, *[np.tile(c, blocks) for c in columns]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["key", "node", *PRINT])
+
+    return nodes.select("node", *PRINT).mapInArrow(run, kept)
+
+
+def _distance(a: Column | str, b: Column | str) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PRINT])
+
+
+def near_links(nodes: DataFrame, similarity: float = SIMILARITY, pairwise: int = PAIRWISE) -> DataFrame:
+    """Links (u, v) between nodes (node, PRINT) that share a block and differ in few enough bits.
+
+    Blocks of up to `pairwise` members are joined with themselves. In a larger one all members are compared with
+    PIVOTS of them, those that are near none of these with others, and so on with four times as many each time, until
+    the rest is small enough: copies of one text are all near some pivot of theirs, so a crowd of them is linked in
+    rows of its own number. No member is left out; two members of a large block that are near different pivots and
+    each other are linked by this block only if their pivots' members are.
+    """
+    limit = largest_distance(similarity)
+    keyed = _keyed(nodes, *blocking(nodes.count(), similarity))
+    sizes = F.count("*").alias("n")
+    keyed = written(keyed, "keyed")
+    counts = keyed.groupBy("key").agg(sizes).where("n > 1")
+    large = written(counts.where(F.col("n") > pairwise).select("key"), "large")
+    small = keyed.join(counts.where(F.col("n") <= pairwise).select("key"), "key")
+    each = F.struct("node", *PRINT)
+    out = []
+    if not large.isEmpty():
+        rest, pivots = written(keyed.join(large, "key", "left_semi"), "rest"), PIVOTS
+        while True:
+            # The least of each salted order: numbers, so combined before the shuffle however large the block is.
+            salts = [(ODD * (i + pivots)) % (1 << 62) for i in range(pivots)]
+            least = rest.groupBy("key").agg(F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in salts]).alias("p"))
+            chosen = rest.join(least.select(F.col("key").alias("k"), F.explode(F.array_distinct("p")).alias("p")), (F.col("key") == F.col("k")) & (F.col("node") == F.col("p")))
+            chosen = chosen.groupBy("key").agg(F.collect_list(each).alias("pivots"))
+            met = rest.join(chosen, "key").withColumn("own", each)
+            near = F.filter("pivots", lambda p: reduce(Column.__add__, [F.bit_count(p[c].bitwiseXOR(F.col(c))) for c in PRINT]) <= limit)
+            met = written(met.select("key", "node", *PRINT, F.transform(near, lambda p: p["node"]).alias("near")), "met")
+            linked = met.select(F.col("node").alias("u"), F.explode("near").alias("v"))
+            out.append(linked.where("u <> v"))
+            # A pivot is near itself, so each round leaves fewer.
+            left = written(met.where(F.size("near") == 0).select("key", "node", *PRINT), "rest")
+            discard(rest)
+            counts = left.groupBy("key").agg(sizes).where("n > 1")
+            small = small.unionByName(left.join(counts.where(F.col("n") <= pairwise).select("key"), "key"))
+            rest = written(left.join(counts.where(F.col("n") > pairwise).select("key"), "key", "left_semi"), "rest")
+            if rest.isEmpty():
+                break
+            pivots = min(4 * pivots, 512)
+    a, b = small.select("key", each.alias("a")), small.select("key", each.alias("b"))
+    pairs = a.join(b, "key").where((F.col("a.node") < F.col("b.node")) & (_distance("a", "b") <= limit))
+    out.append(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _long_rows(ids: list, salts: list, texts: list, width: int) -> list:
+    return [ids, salts, *long_prints(texts, width).view(np.int64).T.tolist()] if ids else [[] for _ in range(LANES + 2)]
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, salt, group) for every row of docs: rows of one group are copies of each other, or linked by copies.
+
+    salt is a hash of the text: it tells rows apart that share a doc_id. Texts without words are copies of each other.
+    """
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    named = docs.select("doc_id", F.xxhash64("text").alias("salt"), "text")
+    schema = f"doc_id {kind}, salt long, " + ", ".join(f"{c} long" for c in PRINT)
+    prints = written(over_texts(named, ["doc_id", "salt", "text!"], schema, _long_rows, width).withColumn("node", F.xxhash64(*PRINT)), "prints")
+    nodes = written(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in PRINT]), "nodes")
+    roots = connected(near_links(nodes, similarity))
+    joined = prints.select("doc_id", "salt", "node").join(roots, "node", "left")
+    return joined.select("doc_id", "salt", F.coalesce("root", "node").alias("group"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """docs less all but one row of each group of near-duplicates: that with the least doc_id stays, null the last.
 
-    doc_id names a document, so of rows that repeat one a single row stays. Rows with a null doc_id have no name to
-    be dropped by: of these only rows with equal texts are reduced to one.
-    Ids alone are grouped and marked; of the texts, only those of repeated or null ids are shuffled for it.
+    Copies are texts whose shingles of `width` words have a similarity of `similarity` or more, as their fingerprints
+    tell. That is an estimate with a margin: pairs just as similar are near enough in 49 of 50 cases, and at 0.8 so are
+    half of those at 0.7, a tenth at 0.6, one in 200 at 0.5. Texts without words are copies of each other. Rows that repeat an id with other texts are documents of their own. All columns come out as they are,
+    whatever their names; an empty table stays empty.
+    Ids and hashes alone are grouped; of the texts, only those of repeated rows are shuffled for it, and others where
+    the dropped ids are too many to broadcast.
     """
-    gone = F.coalesce(F.max(F.col("doc_id") != F.col("component_id")), F.lit(False))
-    marks = near_duplicates(docs, width, distance).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), gone.alias("gone"))
-    marks = written(marks, "marks")
+    marks = written(groups(docs, similarity, width), "groups")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("salt").alias("salt"))
+    several = marks.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    crowded = written(marks.join(several, "group"), "crowded")
+    id_, salt = fresh(docs, "__id", "__salt")
+    least = crowded.groupBy("group").agg(F.min(key).alias("least"))
+    stays = (F.col("least.id").eqNullSafe(F.col("doc_id"))) & (F.col("least.salt") == F.col("salt"))
+    told = written(crowded.join(least, "group").select(F.col("doc_id").alias(id_), F.col("salt").alias(salt), stays.alias("stays")), "told")
     # Written apart, so that the planner knows the size of each.
-    out = written(marks.where("__id IS NOT NULL AND (gone OR n > 1)").select("__id"), "dropped")
-    several = written(marks.where("NOT gone AND (n > 1 OR __id IS NULL)").select("__id"), "several")
-    stay = docs.where("doc_id IS NOT NULL").join(out, F.col("doc_id") == F.col("__id"), "left_anti")
-    if several.isEmpty():
+    out = written(told.where("not stays").select(id_, salt).distinct(), "dropped")
+    again = written(told.where("stays").groupBy(id_, salt).agg(F.count("*").alias("n")).where("n > 1").select(id_, salt), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(salt))
+    stay = docs.join(out, same, "left_anti")
+    if again.isEmpty():
         return stay
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    again = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__unnamed", unnamed)
-    again = again.dropDuplicates(["doc_id", "__unnamed"]).select(*[quoted(c) for c in docs.columns])
-    return stay.unionByName(again)
+    [text] = fresh(docs, "__text")
+    repeated = docs.join(again, same, "left_semi").withColumn(text, F.xxhash64("text"))
+    once = repeated.dropDuplicates(["doc_id", text]).select(*[quoted(c) for c in docs.columns])
+    return stay.join(again, same, "left_anti").unionByName(once)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

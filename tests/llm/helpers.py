@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 LONG = "lorem ipsum dolor sit amet " * 6000
 
 
@@ -19,9 +21,10 @@ def awkward(spark):  # noqa: ANN001, ANN201
         (4, " \t\n", "en", "b", 3), (None, "a null id has this text", "en", "a", 23), (5, LONG, "en", "a", len(LONG)), (6, "ünï ço∂é 🙂 x", "fr", None, 13),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    extra = ["host", "size", "key", "fp", "rank", "group", "block", "n", "bucket", "__kept", "component_id", "id", "salt"]
+    extra = ["host", "size", "key", "fp", "rank", "group", "block", "n", "bucket", "__kept", "component_id", "id", "salt",
+             "__id", "__bad", "__salt", "__text", "__takes", "__at", "__part", "node", "taken", "x.y", "a`b", "ungleich ä"]
     for c in extra:
-        df = df.selectExpr("*", f"'x' AS `{c}`")
+        df = df.withColumn(c, F.lit("x"))
     return df
 
 

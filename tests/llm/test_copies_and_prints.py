@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from lakeloom.llm import chat, components, parsing, simhash
 from lakeloom.llm.queries import ORACLES, QUERIES
@@ -89,6 +90,92 @@ def test_near_duplicates_of_a_table(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def brute_long_print(text, width=5):
+    """As long_prints(), word by word and bit by bit."""
+    words, _ = simhash.word_hashes((text or b"").lower()) if text else ((), ())
+    if not len(words):
+        return [0] * simhash.LANES
+    shingles = [simhash._shingled(words[i : i + width], width)[0] for i in range(max(1, len(words) - width + 1))]
+    out = []
+    for salt in simhash._mix(np.arange(1, simhash.LANES + 1, dtype=np.uint64)):
+        hashes = [int(simhash._mix(np.array([s + salt]))[0]) for s in shingles]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def test_long_prints_match_brute_force(monkeypatch):
+    rnd = random.Random(2)
+    texts = [None, b"", b" \n\t", b"a", b"A", b"a b c d e", b"a b c d e f", b"x" * 300, ("é " * 40).encode()]
+    texts += [" ".join(rnd.choice("ab cd efg h i é".split()) for _ in range(rnd.choice([3, 10, 260, 520]))).encode() + rnd.choice([b"", b" "]) for _ in range(25)]
+    want = [brute_long_print(t) for t in texts]
+    assert simhash.long_prints(texts).tolist() == want
+    for size in (7, 64, 500):  # in stretches
+        monkeypatch.setattr(simhash, "STRETCH", size)
+        assert simhash.long_prints(texts).tolist() == want
+    hashed = {w: simhash.word_hashes(b"pad " * k + w + b" end")[0][k] for k in (0, 3) for w in (b"word", b"Wort", b"w", b"rdwo")}
+    assert len(set(hashed.values())) == 4 and hashed[b"word"] == simhash.word_hashes(b"word")[0][0]
+
+
+def copy_of(rnd, words, changes):
+    out = list(words)
+    for _ in range(changes):
+        out[rnd.randrange(len(out))] = f"new{rnd.randrange(10**6)}"
+    return " ".join(out)
+
+
+def brute_groups(texts, n):
+    """Of each text the least one that it is linked with: pairs that share a block and are near enough, all compared."""
+    prints = simhash.long_prints([t.encode() if t is not None else None for t in texts])
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    cuts = simhash._cuts(*simhash.blocking(n, simhash.SIMILARITY))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bits[i] != bits[j]).sum() <= simhash.largest_distance(simhash.SIMILARITY) and any((bits[i][c] == bits[j][c]).all() for c in cuts):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_less_similar_copies_are_found_and_others_stay(spark):
+    rnd = random.Random(13)
+    base = [[f"w{rnd.randrange(4000)}" for _ in range(250)] for _ in range(60)]
+    texts = [" ".join(b) for b in base] + [copy_of(rnd, b, 5) for b in base[:30]] + [" ".join(base[3]).upper()]  # a shingle similarity of 0.82 and more
+    got = {r.doc_id: r.group for r in simhash.groups(docs(spark, texts)).collect()}
+    want = brute_groups(texts, len({tuple(p) for p in simhash.long_prints([t.encode() for t in texts]).tolist()}))
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
+    assert sum(want[60 + i] == i for i in range(30)) >= 27 and want[90] == 3
+    kept = simhash.keep_one(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_a_crowd_of_copies_is_one_group_by_either_way(spark):
+    rnd = random.Random(14)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    texts = [copy_of(rnd, base, 3) for _ in range(300)] + [" ".join(f"u{rnd.randrange(4000)}" for _ in range(80)) for _ in range(40)]
+    frame = docs(spark, texts)
+    prints = simhash.long_prints([t.encode() for t in texts]).view(np.int64)
+    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
+    for pairwise in (4, 32, 10_000):
+        roots = {r.node: r.root for r in components.connected(simhash.near_links(nodes, pairwise=pairwise)).collect()}
+        assert {roots.get(i, i) for i in range(300)} == {0} and not roots.keys() & set(range(300, 340))
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == [0, *range(300, 340)]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rnd = random.Random(15)
+    a, b, c = (" ".join(f"{x}{rnd.randrange(999)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a), (3, b), (5, b), (7, a), (9, c), (9, c), (None, c), (None, "z"), (None, "z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (3, b), (9, c), (None, "z")], key=str)
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == 8
@@ -255,11 +342,25 @@ def test_parsing_on_awkward_rows(spark):
     assert alone.near_next == 1.0
 
 
-def test_no_python_in_native_plans(spark):
+def test_no_python_in_native_plans(spark, monkeypatch):
+    """Of the result and of each table that is written on the way to it."""
     from lakeloom.llm import mixing
 
-    turns = spark.createDataFrame(conversation(1, "ab"), "conv_id long, turn long, role string, text string")
-    for df in (chat.rendered(turns), mixing.mixed(docs(spark, ["a b", "c"]))):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
-    assert F is not None
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (chat, mixing):
+        keep = module.written
+        monkeypatch.setattr(module, "written", lambda df, tag, keep=keep: keep(seen(df), tag))
+    turns = spark.createDataFrame(conversation(1, "ab") + conversation(2, [f"t{i}" for i in range(300)]), "conv_id long, turn long, role string, text string")
+    seen(chat.rendered(turns)).count()
+    before = len(plans)
+    assert before > 2
+    seen(mixing.mixed(docs(spark, [f"a b {i}" for i in range(200)]))).count()
+    seen(mixing.remix(docs(spark, [f"a b {i}" for i in range(200)]))).count()
+    assert len(plans) > before + 6
+    # The small tables that this test makes are scans of existing rows; operators that run Python have these names.
+    assert not any(re.search(r"Python|Pandas|Arrow", plan.replace("PythonRDD", "")) for plan in plans)
