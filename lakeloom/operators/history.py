@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
@@ -25,40 +25,92 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], by: Sequ
     return latest(current.unionByName(changes, allowMissingColumns=True), keys, by)
 
 
-def scd2(changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str = "updated_at", deleted: str | None = None) -> DataFrame:
+#: Rows of one key that one task may sort.
+KEY_ROWS = 5_000_000
+
+
+def spread_for(df: DataFrame, keys: Sequence[str], rows: int = KEY_ROWS) -> int:
+    """Time ranges into which the rows of a key should be split so that none has many more rows than that."""
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-most // rows))
+
+
+def _bounds(df: DataFrame, at: str, spread: int) -> list:
+    """Where time ranges of about equally many rows begin, but the first."""
+    if spread < 2:
+        return []
+    cuts = df.agg(F.percentile_approx(at, [i / spread for i in range(1, spread)])).first()[0]
+    return sorted(set(cuts or []))
+
+
+def _range_of(at: Column, bounds: Sequence) -> Column:
+    """The number of the time range, from 0."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= at)) if bounds else F.lit(0)
+
+
+def scd2(
+    changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str = "updated_at", deleted: str | None = None, spread: int = 1
+) -> DataFrame:
     """Versions: a row for each change of a tracked column, valid from effective_from until before effective_to.
 
     Of several rows of a key at one time the greatest by its tracked columns counts. deleted names a flag: a row that
     has it set closes the version before it and opens none, so a deleted key has no current version until it comes
     back; at one time a deletion counts before other rows. A null flag is no deletion.
+    spread: time ranges that are worked on apart, so that a hot key is no single task; see spread_for(). What a range
+    needs of the ones beside it is one row for each key and range.
     """
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     # A deletion has no values, so that one after another is no change.
     values = [F.when(~gone, F.col(c)).alias(c) for c in tracked]
     once = changes.groupBy(*keys, at).agg(F.max(F.struct(gone.alias("__gone"), *values)).alias("__v"))
-    order = Window.partitionBy(*keys).orderBy(at)
-    before = F.lag("__v").over(order)
-    first = F.row_number().over(order) == 1
-    marked = once.withColumn("__new", first | ~F.col("__v").eqNullSafe(before)).where("__new")
-    versions = marked.withColumn("effective_to", F.lead(at).over(order)).where(~F.col("__v.__gone"))
+    bounds = _bounds(changes, at, spread)
+    once = once.withColumns({"__range": _range_of(F.col(at), bounds), "__edge": F.lit(False)})
+    over_ranges = Window.partitionBy(*keys).orderBy("__range")
+    order = Window.partitionBy(*keys, "__range").orderBy(at)
+
+    def beside(row: Column, rows: DataFrame, shift: Column) -> DataFrame:
+        """For each range of a key the row of the range beside it, marked as not its own."""
+        edges = rows.groupBy(*keys, "__range").agg(row.alias("__row")).withColumn("__row", shift).where(F.col("__row").isNotNull())
+        return edges.select(*keys, F.col(f"__row.{at}").alias(at), F.col("__row.__v").alias("__v"), "__range", F.lit(True).alias("__edge"))
+
+    whole = F.struct(at, "__v")
+    if bounds:
+        once = once.unionByName(beside(F.max(whole), once, F.lag("__row").over(over_ranges)))
+    before, first = F.lag("__v").over(order), F.row_number().over(order) == 1
+    marked = once.withColumn("__new", first | ~F.col("__v").eqNullSafe(before)).where("__new AND NOT __edge").drop("__new")
+    if bounds:
+        marked = marked.unionByName(beside(F.min(whole), marked, F.lead("__row").over(over_ranges)))
+    versions = marked.withColumn("effective_to", F.lead(at).over(order)).where(~F.col("__edge") & ~F.col("__v.__gone"))
     return versions.select(
         F.xxhash64(*keys, at).alias("surrogate_key"), *keys, *[F.col(f"__v.{c}").alias(c) for c in tracked],
         F.col(at).alias("effective_from"), "effective_to", F.col("effective_to").isNull().alias("is_current"),
     )
 
 
-def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
+def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, columns: Sequence[str], spread: int = 1) -> DataFrame:
     """Each fact with the version that was valid at its time, or nulls; versions of a key must not overlap.
 
     Versions and facts of a key are read once in order of time, so a key costs its rows and not their pairs. Facts
-    without a key have no version; they are spread by their time.
+    without a key have no version; they are spread by their time. spread: time ranges that are worked on apart, so that
+    a hot key is no single task; see spread_for(). A version is repeated for each range that it reaches into.
     """
+    bounds = _bounds(facts, at, spread)
     version = F.struct(F.col("effective_from").alias("__from"), F.col("effective_to").alias("__to"), *columns)
-    past = history.where(F.col(key).isNotNull() & F.col("effective_from").isNotNull()).select(
-        F.col(key).alias("__k"), F.col("effective_from").alias("__at"), version.alias("__v")
-    )
+    begin = F.col("effective_from")
+    past = history.where(F.col(key).isNotNull() & begin.isNotNull()).select(F.col(key).alias("__k"), begin.alias("__at"), version.alias("__v"))
+    if bounds:
+        past = past.withColumns({"__first": _range_of(F.col("__at"), bounds), "__to": F.col("__v.__to")})
+        end = F.when(F.col("__to").isNull(), len(bounds)).otherwise(_range_of(F.col("__to"), bounds))
+        past = past.withColumn("__range", F.explode(F.sequence(F.col("__first"), F.greatest(F.col("__first"), end))))
+        start = F.when(F.col("__range") == F.col("__first"), F.col("__at")).otherwise(F.get(F.array(*map(F.lit, bounds)), F.col("__range") - 1))
+        past = past.select("__k", start.alias("__at"), "__v", "__range")
+    else:
+        past = past.withColumn("__range", F.lit(0))
     asked = facts.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.struct(*facts.columns).alias("__fact"))
-    order = Window.partitionBy("__k", F.when(F.col("__k").isNull(), F.xxhash64("__at"))).orderBy("__at", F.col("__fact").isNotNull())
+    asked = asked.withColumn("__range", F.coalesce(_range_of(F.col("__at"), bounds), F.lit(0)))
+    order = Window.partitionBy("__k", "__range", F.when(F.col("__k").isNull(), F.xxhash64("__at"))).orderBy(
+        "__at", F.col("__fact").isNotNull(), F.col("__v.__from")
+    )
     last = F.last("__v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = asked.unionByName(past, allowMissingColumns=True).withColumn("__v", last).where(F.col("__fact").isNotNull())
     ends = F.col("__v.__to")

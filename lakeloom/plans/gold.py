@@ -18,7 +18,8 @@ def dim_customers(customers: DataFrame) -> DataFrame:
 
 def dim_customers_history(changes: DataFrame) -> DataFrame:
     """Versions of customers by segment; a deletion closes the last one."""
-    return history.scd2(changes, ["customer_id"], ["segment"], deleted="is_deleted")
+    spread = history.spread_for(changes, ["customer_id"])
+    return history.scd2(changes, ["customer_id"], ["segment"], deleted="is_deleted", spread=spread)
 
 
 def dim_products(products: DataFrame) -> DataFrame:

@@ -180,6 +180,24 @@ def test_deletions_close_versions(spark):
     assert sorted(map(tuple, past.drop("surrogate_key").collect()), key=str) == [(1, "a", 1, 3, False), (1, "a", 6, None, True)]
 
 
+def test_time_ranges_change_no_version(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.choice("abc"), rnd.randrange(200), rnd.random() < 0.1) for _ in range(900)]
+    changes = spark.createDataFrame(rows, "k int, s string, updated_at int, is_deleted boolean")
+    facts = spark.createDataFrame([(i, rnd.choice([1, 1, 1, 2, 3, 4, None]), rnd.choice([None, rnd.randrange(-5, 210)])) for i in range(800)], "f int, k int, at int")
+    for deleted in (None, "is_deleted"):
+        whole = history.scd2(changes, ["k"], ["s"], deleted=deleted)
+        found = history.as_of(facts, whole, "k", "at", ["s"])
+        for spread in (2, 7, 40):
+            parts = history.scd2(changes, ["k"], ["s"], deleted=deleted, spread=spread)
+            assert sorted(map(tuple, parts.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+            split = history.as_of(facts, whole, "k", "at", ["s"], spread=spread)
+            assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    assert history.spread_for(changes, ["k"], 100) == 6 and history.spread_for(changes.limit(0), ["k"]) == 1
+
+
 def test_large_extracts_are_refused_where_one_task_would_read_them(spark, lake):
     path = f"{lake[0].landing}/orders.csv"
     with pytest.raises(ValueError, match="line_breaks=False"):
