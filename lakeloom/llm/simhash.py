@@ -23,26 +23,43 @@ from lakeloom.llm.components import connected
 
 #: Distinct fingerprints up to which a block is joined pair by pair; larger blocks take the neighbourhood route.
 PAIRWISE = 32
+#: Hashes of shingles whose bits are counted at once.
+TOGETHER = 1 << 17
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text in UTF-8; none: 0."""
+def shingle_hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """XXH64 of each word shingle of a text in UTF-8; of all words where they are fewer, none without words."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([digest(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     n = len(words) - width + 1
-    hashes = np.fromiter(
-        (digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)),
-        np.uint64, n,
-    )
-    counts = bit_counts(hashes, np.zeros(1, np.int64))[0]
-    return int(sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist()))
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint_all(texts: list[bytes | None], width: int = 3) -> list[int]:
+    """Unsigned 64-bit SimHashes of the word shingles of texts in UTF-8; without words: 0. Bits are counted together."""
+    out, held, size = [0] * len(texts), [], 0
+    for i, text in enumerate(texts):
+        hashes = shingle_hashes(text, width)
+        if len(hashes):
+            held.append((i, hashes))
+            size += len(hashes)
+        if held and (size > TOGETHER or i == len(texts) - 1):
+            sizes = np.fromiter((len(h) for _, h in held), np.int64, len(held))
+            counts = bit_counts(np.concatenate([h for _, h in held]), np.cumsum(sizes) - sizes)
+            prints = np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+            for (k, _), made in zip(held, prints, strict=True):
+                out[k] = made
+            held, size = [], 0
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    return fingerprint_all([text], width)[0]
 
 
 ONES = np.uint64(0x0101010101010101)
@@ -65,8 +82,7 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _rows(ids: list, texts: list, width: int) -> list:
-    made = [fingerprint(t, width) for t in texts]
-    return [ids, [f - (1 << 64) if f >> 63 else f for f in made]]
+    return [ids, [f - (1 << 64) if f >> 63 else f for f in fingerprint_all(texts, width)]]
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
