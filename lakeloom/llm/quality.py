@@ -50,8 +50,8 @@ def count(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def _rows(ids: list, hosts: list, texts: list) -> list:
-    return [ids, hosts, *zip(*map(count, texts))] if ids else [[] for _ in range(8)]
+def _rows(ids: list, hosts: list, salts: list, texts: list) -> list:
+    return [ids, hosts, salts, *zip(*map(count, texts))] if ids else [[] for _ in range(9)]
 
 
 def failures() -> dict[str, Column]:
@@ -97,15 +97,16 @@ def host_verdicts(counted: DataFrame, strict: float = 0.3, blocked: float = 0.98
 
 
 def judged(docs: DataFrame, host: str = "source", strict: float = 0.3, blocked: float = 0.98) -> DataFrame:
-    """(doc_id, host, counts, base_failed, host_rate, host_verdict, kept) for every row of docs.
+    """(doc_id, host, salt, counts, base_failed, host_rate, host_verdict, kept) for every row of docs; salt: a hash of the text.
 
     A null or blank text has no words and fails; a null host is a host of its own; repeated rows are judged alike,
     each counts for its host; an empty table gives an empty result; other columns are not read.
     kept: not base_failed, the host not blocked, and on a strict host no other rule failed either.
     """
     kinds = dict(docs.select("doc_id", quoted(host)).dtypes)
-    schema = f"doc_id {kinds['doc_id']}, host {kinds[host]}, {COUNTS}"
-    counted = written(over_texts(docs, ["doc_id", host, "text!"], schema, _rows), "counts")
+    schema = f"doc_id {kinds['doc_id']}, host {kinds[host]}, salt long, {COUNTS}"
+    named = docs.select("doc_id", quoted(host).alias("host"), F.xxhash64("text").alias("salt"), "text")
+    counted = written(over_texts(named, ["doc_id", "host", "salt", "text!"], schema, _rows), "counts")
     verdicts = written(host_verdicts(counted, strict, blocked), "verdicts")
     verdicts = verdicts.select(F.col("host").alias("__host"), F.col("fail_rate").alias("host_rate"), "verdict")
     if verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
@@ -121,13 +122,14 @@ def judged(docs: DataFrame, host: str = "source", strict: float = 0.3, blocked:
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that are kept. Counting and verdicts take one pass each; the rows then go by doc_id.
 
-    Rows that share a doc_id go or stay together: they stay if one of them is kept. Null ids are matched to each other.
-    All columns come out as they are, whatever their names; an empty table stays empty.
+    Rows that share an id but not a text or a host are judged apart. All columns come out as they are, whatever their
+    names; an empty table stays empty.
     """
-    [name] = fresh(docs, "__bad")
-    bad = judged(docs, host).groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any")
-    bad = written(bad.select(F.col("doc_id").alias(name)), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    id_, host_, salt = fresh(docs, "__bad", "__host", "__salt")
+    bad = judged(docs, host).where("not kept").select(F.col("doc_id").alias(id_), F.col("host").alias(host_), F.col("salt").alias(salt))
+    bad = written(bad.distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & quoted(host).eqNullSafe(F.col(host_)) & (F.xxhash64("text") == F.col(salt))
+    return docs.join(bad, same, "left_anti")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
