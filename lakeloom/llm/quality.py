@@ -126,10 +126,17 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     names; an empty table stays empty.
     """
     id_, host_, salt = fresh(docs, "__bad", "__host", "__salt")
-    bad = judged(docs, host).where("not kept").select(F.col("doc_id").alias(id_), F.col("host").alias(host_), F.col("salt").alias(salt))
-    bad = written(bad.distinct(), "rejected")
+    verdicts = judged(docs, host).select(F.col("doc_id").alias(id_), F.col("host").alias(host_), F.col("salt").alias(salt), "kept")
+    per_id = verdicts.groupBy(id_).agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    # Ids of which every row goes, which are nearly all, are told by the id alone: a small table to join with.
+    bad = written(per_id.where("NOT some").select(id_), "rejected")
+    out = docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    mixed = written(per_id.where("some AND NOT all").select(F.col(id_).alias("id")), "mixed")
+    if mixed.isEmpty():
+        return out
+    rows = verdicts.where("NOT kept").join(mixed, F.col(id_).eqNullSafe(F.col("id")), "left_semi").drop("kept").distinct()
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & quoted(host).eqNullSafe(F.col(host_)) & (F.xxhash64("text") == F.col(salt))
-    return docs.join(bad, same, "left_anti")
+    return out.join(written(rows, "rejected"), same, "left_anti")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

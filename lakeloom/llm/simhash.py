@@ -158,6 +158,10 @@ BITS = 64 * LANES
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
 #: Members of a large block that all others are compared with.
 PIVOTS = 8
+#: Rows of a block from which it is split, about, and one in how many rows is counted to tell.
+HOT, HOT_PART = 1 << 20, 64
+#: Rows that wait in a worker for their block to be complete, and rows in a batch.
+MANY, NUMBERS = 1 << 17, 1 << 13
 #: Bytes of text that are hashed at once.
 STRETCH = 1 << 20
 ODD, MIXED = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -300,75 +304,153 @@ def _cuts(width: int, blocks: int) -> list[np.ndarray]:
 PRINT = [f"f{i}" for i in range(LANES)]
 
 
+def _name(prints: np.ndarray) -> np.ndarray:
+    """A number for each long fingerprint, by which links name it; equal ones have the same."""
+    out = np.zeros(len(prints), np.uint64)
+    for k in range(LANES):
+        out = _mix(out * MIXED + prints[:, k])
+    return out.view(np.int64)
+
+
+def _prints_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]], axis=1).astype("<i8").view(np.uint64)
+
+
 def _keyed(nodes: DataFrame, width: int, blocks: int) -> DataFrame:
-    """(key, node, PRINT): a row for each block of each fingerprint."""
-    kept = ", ".join(f"{c} long" for c in ["key", "node", *PRINT])
+    """(key, PRINT): a row for each block of each fingerprint of nodes (PRINT)."""
+    kept = ", ".join(f"{c} long" for c in ["key", *PRINT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = _cuts(width, blocks)
         place = np.left_shift(np.int64(1), np.arange(width, dtype=np.int64))
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            bits = np.unpackbits(np.stack(columns[1:], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            keys = np.concatenate([bits[:, cut] @ place + np.int64(i << 48) for i, cut in enumerate(cuts)])
-            made = [keys, *[np.tile(c, blocks) for c in columns]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["key", "node", *PRINT])
+            for at in range(0, batch.num_rows, 1024):
+                prints = _prints_of(batch.slice(at, 1024), 0)
+                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                keys = np.concatenate([bits[:, cut] @ place + np.int64(i << 48) for i, cut in enumerate(cuts)])
+                made = [keys, *[np.tile(prints[:, k].view(np.int64), blocks) for k in range(LANES)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["key", *PRINT])
 
-    return nodes.select("node", *PRINT).mapInArrow(run, kept)
+    return nodes.select(*PRINT).mapInArrow(run, kept)
 
 
-def _distance(a: Column | str, b: Column | str) -> Column:
-    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PRINT])
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def near_links(nodes: DataFrame, similarity: float = SIMILARITY, pairwise: int = PAIRWISE) -> DataFrame:
-    """Links (u, v) between nodes (node, PRINT) that share a block and differ in few enough bits.
+def crowd_links(prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links between the members of one large block that connect what its pivots connect, in rows of its own number.
 
-    Blocks of up to `pairwise` members are joined with themselves. In a larger one all members are compared with
-    PIVOTS of them, those that are near none of these with others, and so on with four times as many each time, until
-    the rest is small enough: copies of one text are all near some pivot of theirs, so a crowd of them is linked in
-    rows of its own number. No member is left out; two members of a large block that are near different pivots and
-    each other are linked by this block only if their pivots' members are.
+    All members are compared with PIVOTS of them; those that are near none with others, four times as many, and so on
+    until few enough are left to be compared with each other. A member is linked to one pivot that it is near, and two
+    pivots that are near a common member are both linked to it.
+    """
+    out: list[tuple[int, int]] = []
+    left, pivots = np.arange(len(prints)), PIVOTS
+    while len(left) > PIVOTS:
+        chosen = left[:pivots]
+        near = np.stack([_apart(prints[left], prints[c]) <= limit for c in chosen], axis=1)
+        some = np.flatnonzero(near.any(axis=1))
+        out += zip(chosen[near[some].argmax(axis=1)].tolist(), left[some].tolist(), strict=True)
+        met = near[some]
+        for i in range(len(chosen)):
+            for j in np.flatnonzero(met[met[:, i]].any(axis=0)).tolist():
+                if j > i:
+                    member = int(left[some[np.flatnonzero(met[:, i] & met[:, j])[0]]])
+                    out += [(int(chosen[i]), member), (int(chosen[j]), member)]
+        left, pivots = left[~near.any(axis=1)], min(4 * pivots, 512)  # a pivot is near itself
+    for k, i in enumerate(left.tolist()):
+        out += [(i, j) for j in left[k + 1 :][_apart(prints[left[k + 1 :]], prints[i]) <= limit].tolist()]
+    return [(i, j) for i, j in out if i != j]
+
+
+def block_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows, for rows sorted by key: all pairs of blocks of up to PIVOTS + 1, crowd_links() of larger ones."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    sizes = np.diff(starts, append=len(keys))
+    small = np.repeat(sizes <= PIVOTS + 1, sizes)
+    us, vs = [], []
+    for lag in range(1, PIVOTS + 1):
+        u = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[: len(small) - lag]) if len(keys) > lag else np.empty(0, np.int64)
+        u = u[_apart(prints[u], prints[u + lag]) <= limit]
+        us.append(u)
+        vs.append(u + lag)
+    for start, size in zip(starts[sizes > PIVOTS + 1].tolist(), sizes[sizes > PIVOTS + 1].tolist(), strict=True):
+        if links := crowd_links(prints[start : start + size], limit):
+            u, v = np.array(links, np.int64).T + start
+            us.append(u)
+            vs.append(v)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of rows (key, PRINT) that come sorted by key. Rows wait until their block is complete, MANY at most:
+    of a larger block the first ones stay as pivots for the next."""
+    held_keys, held, size = [], [], 0
+
+    def settled(last: bool) -> pa.RecordBatch:
+        nonlocal held_keys, held, size
+        keys, prints = np.concatenate(held_keys), np.concatenate(held)
+        open_ = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+        kept = keys[open_:], prints[open_:]
+        if not open_ and not last:  # one block that is larger than MANY
+            open_, kept = len(keys), (keys[:PIVOTS], prints[:PIVOTS])
+        u, v = block_links(keys[:open_], prints[:open_], limit)
+        held_keys, held, size = [kept[0]], [kept[1]], len(kept[0])
+        names = _name(prints)
+        return pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[v], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        held_keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+        held.append(_prints_of(batch, 1))
+        size += batch.num_rows
+        if size > MANY:
+            yield settled(False)
+    if size:
+        yield settled(True)
+
+
+def near_links(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """Links (u, v) between fingerprints of nodes (PRINT), by _name(), that share a block and differ in few enough bits.
+
+    Rows are dealt by block once, and each block's are read in a stream. Pairs of small blocks are all verified; in a
+    larger one members are compared with pivots, see crowd_links(): copies of one text are near some pivot of theirs, so
+    a crowd of them is linked in rows of its own number. No member is left out; two members of a large block that are
+    near each other but near different pivots are linked by it only if these are connected there.
+    Blocks of more than some `hot` rows are split: their rows are dealt by block and a hash, and some members go to
+    every part, by which the parts' crowds meet. Such blocks are told by counting one row in HOT_PART.
     """
     limit = largest_distance(similarity)
     keyed = _keyed(nodes, *blocking(nodes.count(), similarity))
-    sizes = F.count("*").alias("n")
-    keyed = written(keyed, "keyed")
-    counts = keyed.groupBy("key").agg(sizes).where("n > 1")
-    large = written(counts.where(F.col("n") > pairwise).select("key"), "large")
-    small = keyed.join(counts.where(F.col("n") <= pairwise).select("key"), "key")
-    each = F.struct("node", *PRINT)
-    out = []
-    if not large.isEmpty():
-        rest, pivots = written(keyed.join(large, "key", "left_semi"), "rest"), PIVOTS
-        while True:
-            # The least of each salted order: numbers, so combined before the shuffle however large the block is.
-            salts = [(ODD * (i + pivots)) % (1 << 62) for i in range(pivots)]
-            least = rest.groupBy("key").agg(F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in salts]).alias("p"))
-            chosen = rest.join(least.select(F.col("key").alias("k"), F.explode(F.array_distinct("p")).alias("p")), (F.col("key") == F.col("k")) & (F.col("node") == F.col("p")))
-            chosen = chosen.groupBy("key").agg(F.collect_list(each).alias("pivots"))
-            met = rest.join(chosen, "key").withColumn("own", each)
-            near = F.filter("pivots", lambda p: reduce(Column.__add__, [F.bit_count(p[c].bitwiseXOR(F.col(c))) for c in PRINT]) <= limit)
-            met = written(met.select("key", "node", *PRINT, F.transform(near, lambda p: p["node"]).alias("near")), "met")
-            linked = met.select(F.col("node").alias("u"), F.explode("near").alias("v"))
-            out.append(linked.where("u <> v"))
-            # A pivot is near itself, so each round leaves fewer.
-            left = written(met.where(F.size("near") == 0).select("key", "node", *PRINT), "rest")
-            discard(rest)
-            counts = left.groupBy("key").agg(sizes).where("n > 1")
-            small = small.unionByName(left.join(counts.where(F.col("n") <= pairwise).select("key"), "key"))
-            rest = written(left.join(counts.where(F.col("n") > pairwise).select("key"), "key", "left_semi"), "rest")
-            if rest.isEmpty():
-                break
-            pivots = min(4 * pivots, 512)
-    a, b = small.select("key", each.alias("a")), small.select("key", each.alias("b"))
-    pairs = a.join(b, "key").where((F.col("a.node") < F.col("b.node")) & (_distance("a", "b") <= limit))
-    out.append(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
-    return reduce(DataFrame.unionByName, out)
+    part = F.pmod(F.xxhash64(*PRINT), F.lit(HOT_PART)) == 0
+    crowded = keyed.where(part).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PART >= hot)
+    crowded = written(crowded.select("key", F.ceil(F.col("n") * HOT_PART / hot).alias("parts")), "crowded")
+    rows = keyed
+    if not crowded.isEmpty():
+        mine = keyed.join(crowded, "key")
+        # Members that go to all parts, so that these meet: the least of some orders, combined before the shuffle.
+        salts = [(ODD * (i + 1)) % (1 << 62) for i in range(PIVOTS)]
+        least = mine.groupBy("key", "parts").agg(F.array_distinct(F.array(*[F.min(F.col("f0").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in salts])).alias("p"))
+        chosen = mine.join(least.select("key", F.explode("p").alias("p")), "key").where("f0 = p").select("key", "parts", *PRINT).distinct()
+        # Both get keys of the parts' own; if one should equal another block's, more pairs are verified.
+        dealt = mine.withColumn("part", F.pmod(F.xxhash64("f1", "key"), F.col("parts")))
+        pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        split = dealt.unionByName(pivots).select(F.xxhash64("key", "part").alias("key"), *PRINT)
+        rows = keyed.join(crowded.select("key"), "key", "left_anti").select("key", *PRINT).unionByName(split)
+    run = lambda batches: _linked(batches, limit)
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBERS))  # rows of five numbers, not of texts
+    try:
+        return written(rows.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(run, "u long, v long"), "links")
+    finally:
+        tune(spark)
 
 
 def _long_rows(ids: list, salts: list, texts: list, width: int) -> list:
-    return [ids, salts, *long_prints(texts, width).view(np.int64).T.tolist()] if ids else [[] for _ in range(LANES + 2)]
+    if not ids:
+        return [[] for _ in range(LANES + 3)]
+    prints = long_prints(texts, width)
+    return [ids, salts, _name(prints).tolist(), *prints.view(np.int64).T.tolist()]
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -378,12 +460,16 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE
     """
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", F.xxhash64("text").alias("salt"), "text")
-    schema = f"doc_id {kind}, salt long, " + ", ".join(f"{c} long" for c in PRINT)
-    prints = written(over_texts(named, ["doc_id", "salt", "text!"], schema, _long_rows, width).withColumn("node", F.xxhash64(*PRINT)), "prints")
-    nodes = written(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in PRINT]), "nodes")
-    roots = connected(near_links(nodes, similarity))
+    schema = f"doc_id {kind}, salt long, node long, " + ", ".join(f"{c} long" for c in PRINT)
+    prints = written(over_texts(named, ["doc_id", "salt", "text!"], schema, _long_rows, width), "prints")
+    nodes = written(prints.select(*PRINT).distinct(), "nodes")
+    links = near_links(nodes, similarity)
+    roots = connected(links)
     joined = prints.select("doc_id", "salt", "node").join(roots, "node", "left")
-    return joined.select("doc_id", "salt", F.coalesce("root", "node").alias("group"))
+    out = written(joined.select("doc_id", "salt", F.coalesce("root", "node").alias("group")), "groups")
+    for done in (prints, nodes, links):
+        discard(done)
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -396,7 +482,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHING
     Ids and hashes alone are grouped; of the texts, only those of repeated rows are shuffled for it, and others where
     the dropped ids are too many to broadcast.
     """
-    marks = written(groups(docs, similarity, width), "groups")
+    marks = groups(docs, similarity, width)
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("salt").alias("salt"))
     several = marks.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     crowded = written(marks.join(several, "group"), "crowded")
@@ -404,11 +490,22 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHING
     least = crowded.groupBy("group").agg(F.min(key).alias("least"))
     stays = (F.col("least.id").eqNullSafe(F.col("doc_id"))) & (F.col("least.salt") == F.col("salt"))
     told = written(crowded.join(least, "group").select(F.col("doc_id").alias(id_), F.col("salt").alias(salt), stays.alias("stays")), "told")
+    gone = told.where("NOT stays")
+    # Ids of which every row goes, which are nearly all, are told by the id alone: a small table to join with.
+    rows = marks.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    per_id = gone.groupBy(id_).agg(F.count("*").alias("g")).join(rows, F.col(id_).eqNullSafe(F.col("id")))
+    per_id = written(per_id.select(id_, (F.col("g") == F.col("n")).alias("all")), "marked")
     # Written apart, so that the planner knows the size of each.
-    out = written(told.where("not stays").select(id_, salt).distinct(), "dropped")
+    out = written(per_id.where("all").select(id_), "dropped")
+    mixed = per_id.where("NOT all").select(F.col(id_).alias("id"))
+    some = written(gone.join(mixed, F.col(id_).eqNullSafe(F.col("id")), "left_semi").select(id_, salt).distinct(), "dropped")
     again = written(told.where("stays").groupBy(id_, salt).agg(F.count("*").alias("n")).where("n > 1").select(id_, salt), "repeated")
+    for done in (marks, crowded, told, per_id):
+        discard(done)
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(salt))
-    stay = docs.join(out, same, "left_anti")
+    stay = docs.join(out, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    if not some.isEmpty():
+        stay = stay.join(some, same, "left_anti")
     if again.isEmpty():
         return stay
     [text] = fresh(docs, "__text")

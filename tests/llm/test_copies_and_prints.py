@@ -155,17 +155,63 @@ def test_less_similar_copies_are_found_and_others_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
-def test_a_crowd_of_copies_is_one_group_by_either_way(spark):
+def nodes_of(spark, texts):
+    prints = simhash.long_prints([t.encode() for t in texts])
+    rows = [tuple(map(int, p)) for p in prints.view(np.int64)]
+    return simhash._name(prints).tolist(), spark.createDataFrame(rows, "f0 long, f1 long, f2 long, f3 long").repartition(5)
+
+
+def test_a_crowd_of_copies_is_one_group_in_whole_and_split_blocks(spark, monkeypatch):
     rnd = random.Random(14)
     base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
     texts = [copy_of(rnd, base, 3) for _ in range(300)] + [" ".join(f"u{rnd.randrange(4000)}" for _ in range(80)) for _ in range(40)]
-    frame = docs(spark, texts)
-    prints = simhash.long_prints([t.encode() for t in texts]).view(np.int64)
-    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
-    for pairwise in (4, 32, 10_000):
-        roots = {r.node: r.root for r in components.connected(simhash.near_links(nodes, pairwise=pairwise)).collect()}
-        assert {roots.get(i, i) for i in range(300)} == {0} and not roots.keys() & set(range(300, 340))
-    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == [0, *range(300, 340)]
+    names, nodes = nodes_of(spark, texts)
+    monkeypatch.setattr(simhash, "HOT_PART", 4)
+    for hot, many in ((1 << 20, 1 << 20), (100, 1 << 20), (1 << 20, 64)):
+        monkeypatch.setattr(simhash, "MANY", many)
+        links = simhash.near_links(nodes, hot=hot)
+        roots = {r.node: r.root for r in components.connected(links).collect()}
+        assert len({roots.get(n, n) for n in names[:300]}) == 1 and not {roots.get(n) for n in names[300:]} - {None}
+        assert links.count() < 60 * len(texts)  # not all pairs of the crowd
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == [0, *range(300, 340)]
+
+
+def test_links_of_small_blocks_are_all_pairs_and_of_large_ones_connect_them():
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 5, 9, 10, 40, 200):
+        centres = rnd.integers(0, 1 << 63, (3, simhash.LANES), np.uint64)
+        prints = np.concatenate([c ^ (np.uint64(1) << rnd.integers(0, 63, (size, simhash.LANES), np.uint64)) for c in centres])
+        keys = np.sort(rnd.integers(0, 3 if size < 9 else 1, len(prints)))
+        u, v = simhash.block_links(keys, prints, 12)
+        assert (keys[u] == keys[v]).all() and (simhash._apart(prints[u], prints[v]) <= 12).all()
+        want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] == keys[j] and simhash._apart(prints[i], prints[j]) <= 12}
+        found = {(min(p), max(p)) for p in zip(u.tolist(), v.tolist())}
+        assert found <= want
+        if np.bincount(keys).max() <= simhash.PIVOTS + 1:
+            assert found == want
+        root = list(range(len(keys)))
+        for i, j in sorted(found) * 3:
+            root[i] = root[j] = min(root[i], root[j])
+        for _ in range(len(keys)):
+            for i, j in found:
+                root[i] = root[j] = min(root[i], root[j])
+        assert all(root[i] == root[j] for i, j in want)  # each centre's copies are one group
+    assert [len(x) for x in simhash.block_links(np.empty(0, np.int64), np.empty((0, simhash.LANES), np.uint64), 12)] == [0, 0]
+
+
+def test_blocks_that_arrive_in_pieces_give_the_same_links(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    prints = np.repeat(rnd.integers(0, 1 << 63, (50, simhash.LANES), np.uint64), 4, axis=0)
+    prints ^= np.uint64(1) << rnd.integers(0, 63, prints.shape, np.uint64)
+    keys = np.repeat(np.arange(50), 4) // 2
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(prints[:, k].view(np.int64)) for k in range(simhash.LANES)]], ["key", *simhash.PRINT])
+    pairs = lambda batches: {tuple(sorted(p)) for b in simhash._linked(iter(batches), 12) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    want = pairs([whole])
+    assert len(want) == 50 * 6
+    monkeypatch.setattr(simhash, "MANY", 10)
+    assert pairs([whole.slice(k, 7) for k in range(0, len(keys), 7)]) == want and pairs([]) == set()
 
 
 def test_rows_of_one_id_are_documents_of_their_own(spark):
@@ -219,6 +265,14 @@ def test_long_conversations_span_blocks_and_chunks(spark):
     assert [x.split("\n")[1] for x in whole.split("<|end|>\n")[:-1]] == words
 
 
+def test_very_long_turns_are_kept_whole(spark):
+    long = "ünï 🙂 " * 200_000
+    rows = conversation(1, ["a", long]) + conversation(2, ["a", long, "b"]) + conversation(3, ["a", long + "x"])
+    got = {r.conv_id: r for r in chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {2, 3} and got[2].text == f"<|user|>\na\n<|end|>\n<|assistant|>\n{long}\n<|end|>\n<|user|>\nb\n<|end|>\n"
+    assert got[3].text.endswith("x\n<|end|>\n") and len(got[3].text) > len(long)
+
+
 def test_equal_stretches_get_equal_phrases():
     rnd = random.Random(9)
     text = lambda n: "".join(rnd.choice("abcdefgh  éñ") for _ in range(n))

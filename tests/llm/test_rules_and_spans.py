@@ -61,6 +61,14 @@ def test_hosts_are_shrunk_and_strict_hosts_fail_soft_rules(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    good = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    rows = [(1, good(1), "a"), (1, "short", "a"), (1, "short", "a"), (2, "short", "a"), (None, good(2), None), (None, "bad", None), (3, good(3), "a")]
+    frame = spark.createDataFrame([*rows, *[(i, good(i), "a") for i in range(10, 30)]], "doc_id long, text string, source string")
+    kept = [tuple(r) for r in quality.keep_good(frame).collect() if (r.doc_id or 0) < 10]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[4], rows[6]], key=str)
+
+
 def brute_plain(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -144,6 +152,27 @@ def test_the_gate_is_no_narrower_than_the_rules(text, monkeypatch):
         assert pii.find(text)[1], text
 
 
+def test_the_gate_changes_no_result():
+    """Over random rows of all that the rules know: what the gate keeps out has nothing to be found."""
+    rnd = random.Random(17)
+    parts = ("plus six dos uno un une oh null one five nine double triple dash hyphen minus dot punto point punkt at arroba chez [at] (dot) @ . , - 1 55 4111 0 ex.com"
+             " jo j.o1 x.y com fr org 10 192 168 O12 l1 ¿ é — \xa0 &#64; &commat; &period; %40 _at_ _dot_ the of [ ] ( ) < > { } « » zéro fünf sechs + +1 (555) \u200b").split(" ")
+    between = [" ", " ", " ", "", " \n", "-", ", ", "  ", "\t", "_"]
+    kept_out = 0
+    for _ in range(30_000):
+        text = "".join(rnd.choice(parts) + rnd.choice(between) for _ in range(rnd.randint(2, 14)))
+        if not pii.suspicious(text, text.encode()):
+            kept_out += 1
+            assert pii.disguised(text, pii.plain(text)) == [], text
+    assert kept_out > 1000
+
+
+@pytest.mark.parametrize("words", ["six six six dos dos uno uno six six", "five six six six dos dos uno uno six six", "nine un un oh oh null dos six six"])
+def test_numbers_of_common_words_alone_are_found(words):
+    text = f"call plus {words} today"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [("phone", f"plus {words}")]
+
+
 @pytest.mark.parametrize("text", ["ouvi. +1 (848) 555-1373 Un an oule", "+1 848 555 1373 une fois"])
 def test_a_word_of_prose_after_a_plain_number_is_no_digit(text):
     assert pii.disguised(text, pii.plain(text)) == []
@@ -215,6 +244,11 @@ def test_segments_match_their_definition():
         got = sorted(toxicity.segments(hits, 0.5))
         assert sum(s for _, _, s in got) == pytest.approx(sum(s for _, _, s in brute_segments(scores)))
         assert max((s for _, _, s in got), default=0) == pytest.approx(max((s for _, _, s in brute_segments(scores)), default=0))
+    for _ in range(300):  # with weights that no two sums share, the places are the same too
+        n = rnd.randint(1, 14)
+        scores = [rnd.choice([-0.5, -0.5, rnd.uniform(0.3, 3), -rnd.uniform(0.6, 3)]) for _ in range(n)]
+        got = sorted(toxicity.segments([(i, s) for i, s in enumerate(scores) if s != -0.5], 0.5))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(scores)]
 
 
 def test_toxicity_learns_and_is_held_out(spark):
@@ -245,6 +279,18 @@ def test_toxicity_learns_and_is_held_out(spark):
     assert sorted(r.doc_id for r in flag if r.h and r.doc_id < 600) == held
 
 
+def test_a_model_keeps_all_telling_words_and_one_text_for_each_id(spark):
+    rnd = random.Random(6)
+    bad = [f"vile{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts = [" ".join([f"w{chr(97 + rnd.randrange(26))}" for _ in range(20)] + (bad if i % 2 else [])) for i in range(200)]
+    frame = docs(spark, texts)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, marks)
+    assert {b.encode() for b in bad} <= set(model.weights)
+    again = toxicity.fit(frame.unionByName(frame).unionByName(frame.where("doc_id = 1")), marks)  # repeated rows change nothing
+    assert again.weights == model.weights and again.line == pytest.approx(model.line)
+
+
 def test_toxicity_without_a_choice(spark):
     frame = awkward(spark)
     for rows in ([], [(1, 1)], [(1, 0)]):
