@@ -122,16 +122,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _cut(ids: list, texts: list, path: str) -> list:
-    out: list[list] = [[], [], [], [], []]
+def _cut(ids: list, salts: list, texts: list, path: str) -> list:
+    out: list[list] = [[], [], [], [], [], []]
     known = encoder(path)
     gc.disable()  # no cycles are made here, and looking for some takes a tenth of the time
     try:
-        for one, text in zip(ids, texts, strict=True):
+        for one, salt, text in zip(ids, salts, texts, strict=True):
             data = known.ids(text)
             for at in range(0, len(data), 4 * CAPACITY):
                 part = data[at : at + 4 * CAPACITY]
-                for column, value in zip(out, (one, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4), strict=True):
+                for column, value in zip(out, (one, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, salt), strict=True):
                     column.append(value)
     finally:
         gc.enable()
@@ -257,8 +257,8 @@ class Places:
 
 
 def _unit(seed: int) -> Column:
-    """A number from 0 to 1 that doc_id and the seed fix."""
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    """A number from 0 to 1 that a row's id, a hash of its text and the seed fix: rows that share an id are spread."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "salt"), F.lit(1 << 30)) / float(1 << 30)
 
 
 def _lengths(pieces: DataFrame) -> dict[int, int]:
@@ -338,13 +338,15 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A document's ids are those of its whole text (null: none) and END, so every row of docs has a piece, and repeated
     rows have pieces each. Documents of more than CAPACITY ids are cut there; those held back are cut where a place
-    ends. doc_id is taken as a key: hashes of it deal the work; nulls and repeats are allowed. An empty table gives an
-    empty result; other columns are not read. Reruns give the same pieces.
+    ends. Hashes of doc_id and text deal the work, so null and repeated ids are spread. Texts of any length are encoded
+    whole, one at a time. An empty table gives an empty result; other columns are not read, whatever their names. Reruns
+    give the same pieces.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = written(over_texts(docs, ["doc_id", "text"], schema, _cut, path), "pieces")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("salt"), "text")
+    pieces = written(over_texts(docs, ["doc_id", "salt", "text"], f"{schema}, salt long", _cut, path), "pieces")
     lengths = _lengths(pieces)
     unit, tokens = unit_for(lengths), sum(k * n for k, n in lengths.items())
     sequences = sum(n for _, n in plan(histogram_of(lengths, unit), CAPACITY // unit))
@@ -380,8 +382,8 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     placed = placed.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
     placed = written(placed, "placed")
     used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("group", F.pmod("sequence_id", F.lit(groups)))
-    held = docs.select("doc_id", "text").where(_unit(1) < share)
-    held = held.withColumn("group", F.floor(_unit(3) * groups)).withColumn("rank", F.xxhash64(F.lit(4), "doc_id"))
+    held = docs.where(_unit(1) < share)
+    held = held.withColumn("group", F.floor(_unit(3) * groups)).withColumn("rank", F.xxhash64(F.lit(4), "doc_id", "salt"))
     held = over_texts(held, ["doc_id", "group", "rank", "text"], f"doc_id {kind}, group long, rank long, ids binary", _held, path)
     first_free = places.sequences
 
