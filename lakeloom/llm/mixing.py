@@ -70,11 +70,11 @@ def _pivot(state: Column, x: Column) -> Column:
     a = state["open"]
     up = F.least(a["full"] - a["m"], x["m"])  # to the one left over from x
     down = F.least(a["m"], x["full"] - x["m"])
-    u = F.pmod(F.xxhash64(a["id"], a["salt"], x["id"], x["salt"], F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(a["id"], a["salt"], a["copy"], x["id"], x["salt"], x["copy"], F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40)
     move = F.when(u * (up + down) < down, up).otherwise(-down)
 
     def moved(y: Column, m: Column) -> Column:
-        return F.struct(y["id"].alias("id"), y["salt"].alias("salt"), y["size"].alias("size"), y["base"].alias("base"), m.alias("m"), y["full"].alias("full"))
+        return F.struct(y["id"].alias("id"), y["salt"].alias("salt"), y["copy"].alias("copy"), y["size"].alias("size"), y["base"].alias("base"), m.alias("m"), y["full"].alias("full"))
 
     first, second = moved(a, a["m"] + move), moved(x, x["m"] - move)
     settled = (first["m"] == 0) | (first["m"] == first["full"])
@@ -85,7 +85,19 @@ def _pivot(state: Column, x: Column) -> Column:
     return F.when(a.isNull(), fresh).otherwise(step)
 
 
-KIND = "id {0}, salt long, size long, base long, m long, full long"
+KIND = "id {0}, salt long, copy long, size long, base long, m long, full long"
+#: Rows that are equal in all columns are numbered so many at a time.
+EQUAL = 10_000
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with copy: rows equal in all columns are counted and told apart by numbers, in two steps, so that many of
+    them are neither one group nor the rows of one task."""
+    counts = sizes.groupBy("doc_id", "salt", "source", "size").agg(F.count("*").alias("n"))
+    chunks = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL))))
+    first = F.col("chunk") * EQUAL
+    copy = F.explode(F.sequence(first, F.least(first + EQUAL, F.col("n")) - 1)).alias("copy")
+    return chunks.select("doc_id", "salt", "source", "size", copy)
 
 
 def copies(sizes: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -104,23 +116,23 @@ def copies(sizes: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataFram
         by_source = F.broadcast(by_source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(rate), F.lit(int(limit)))
-    rows = sizes.join(by_source, F.col("source").eqNullSafe(F.col("__source")), "left").select(
-        "source", F.col("doc_id").alias("id"), "salt", "size", (whole * F.col("size")).cast("long").alias("base"),
+    rows = numbered(sizes).join(by_source, F.col("source").eqNullSafe(F.col("__source")), "left").select(
+        "source", F.col("doc_id").alias("id"), "salt", "copy", "size", (whole * F.col("size")).cast("long").alias("base"),
         F.round((rate - whole) * F.col("size") * PARTS).cast("long").alias("m"),
         (F.col("size") * PARTS).alias("full"),
     )
     entry = F.struct(*[c.split()[0] for c in KIND.split(", ")])
     settled = (F.col("m") == 0) | (F.col("m") == F.col("full"))
-    columns = ["source", "id", "salt", "size", "base", "m", "full"]
+    columns = ["source", "id", "salt", "copy", "size", "base", "m", "full"]
     done = []
     level, n, now = 0, largest or 0, rows
     while True:
         groups = max(1, -(-n // FAN))
-        key = F.pmod(F.xxhash64(F.lit(level), "id", "salt"), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
+        key = F.pmod(F.xxhash64(F.lit(level), "id", "salt", "copy"), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
         empty = F.struct(F.lit(None).cast(f"struct<{_as_type(kind)}>").alias("open"), F.array().cast(f"array<struct<{_as_type(kind)}>>").alias("done"))
         grouped = (
             now.withColumn("__group", key).groupBy("source", "__group")
-            .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(level), "id", "salt").alias("at"), entry.alias("e")))).alias("rows"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(level), "id", "salt", "copy").alias("at"), entry.alias("e")))).alias("rows"))
             .select("source", F.filter(F.transform("rows", lambda r: r["e"]), lambda e: (e["m"] > 0) & (e["m"] < e["full"])).alias("loose"),
                     F.filter(F.transform("rows", lambda r: r["e"]), lambda e: (e["m"] <= 0) | (e["m"] >= e["full"])).alias("fixed"))
             .select("source", "fixed", F.aggregate("loose", empty, _pivot).alias("s"))
@@ -157,8 +169,9 @@ def sized(docs: DataFrame, source: str = "source") -> DataFrame:
 def mixed(docs: DataFrame, source: str = "source", share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target and taken; see copies().
 
-    A null text has no words; a null source is a source of its own and the last; repeated rows count each; an empty
-    table gives an empty result; other columns are not read. All of it runs in the JVM.
+    A null text has no words; a null source is a source of its own and the last; repeated rows count each; texts of any
+    length are only counted, where they are; an empty table gives an empty result; other columns are not read, whatever
+    their names. All of it runs in the JVM.
     """
     sizes = written(sized(docs, source), "sizes")
     return copies(sizes, share, limit).select("doc_id", "size", "source_size", "target", "taken")
