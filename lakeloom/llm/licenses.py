@@ -395,8 +395,8 @@ def scanned(docs: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     A license is named only by its own words: a text that leaves open which license or version it means names none.
 
     licenses: the identifiers found, in order, joined by commas; passages: license:start:end:coverage in code points of
-    the whole text. A null or empty text has none and a coverage of 0; repeated rows repeat; an empty table gives an
-    empty result; other columns are not read.
+    the whole text. A null or empty text has none and a coverage of 0; a text of any length is read whole; repeated rows
+    repeat; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_passages long, licenses string, best_coverage double, passages string"

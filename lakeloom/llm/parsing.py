@@ -296,7 +296,8 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, fingerprint and the comparison with its edited text and the next document.
 
     Next is the row that follows by descending doc_id (null ids last, ties by a hash of the text), and after the last the first. A
-    null text is empty. One row follows itself; an empty table gives an empty result; other columns are not read.
+    null text is empty; a long one is parsed in stretches. One row follows itself; an empty table gives an empty result;
+    other columns are not read, whatever their names.
 
     The texts are dealt once, by ranges of doc_id, and read in order, so a row's successor is at hand; a task's last
     row waits with its text. The first rows of the tasks, one each, are joined to those waiting by the number of the

@@ -296,8 +296,9 @@ def _digest(ids: list, texts: list) -> list:
 def spans(docs: DataFrame) -> DataFrame:
     """Per row of docs its doc_id, base counts by kind, base digest, all spans as kind:start:end, and n_added.
 
-    Offsets count code points of the whole text, ends are exclusive. A null or empty text has no spans; repeated rows
-    repeat; an empty table gives an empty result; other columns are not read.
+    Offsets count code points of the whole text, ends are exclusive. A null or empty text has no spans; a text of any
+    length is read whole, in time that grows with it; repeated rows repeat; an empty table gives an empty result; other
+    columns are not read, whatever their names.
     """
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"

@@ -100,7 +100,8 @@ def judged(docs: DataFrame, host: str = "source", strict: float = 0.3, blocked:
     """(doc_id, host, salt, counts, base_failed, host_rate, host_verdict, kept) for every row of docs; salt: a hash of the text.
 
     A null or blank text has no words and fails; a null host is a host of its own; repeated rows are judged alike,
-    each counts for its host; an empty table gives an empty result; other columns are not read.
+    each counts for its host; a text of any length is counted whole, in one worker; an empty table gives an empty
+    result; other columns are not read, whatever their names.
     kept: not base_failed, the host not blocked, and on a strict host no other rule failed either.
     """
     kinds = dict(docs.select("doc_id", quoted(host)).dtypes)

@@ -132,8 +132,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
 
     Texts are lower-cased in A-Z; a null or blank text has fingerprint zero and links like any other. Copies share
     a fingerprint and meet by it, so the graph holds distinct fingerprints only. component_id is the least doc_id
-    of the component (null if all are null). Repeated rows come out as often as they came in; an empty table gives
-    an empty result; other columns of docs are not read.
+    of the component (null if all are null). Repeated rows come out as often as they came in; a text of any length is
+    hashed whole, in one worker; an empty table gives an empty result; other columns of docs are not read, whatever
+    their names.
     """
     prints = written(fingerprints(docs, width), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")

@@ -200,8 +200,9 @@ def _scores(ids: list, texts: list, model: Model) -> list:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, n_passages, passages) for every row of docs; passages as start:end:score.
 
-    Offsets count code points of the whole text. A null or empty text has no passage and the lowest score; repeated
-    rows repeat; an empty table gives an empty result; other columns are not read.
+    Offsets count code points of the whole text. A null or empty text has no passage and the lowest score; a text of any
+    length is read whole, in one scan; repeated rows repeat; an empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, predicted int, n_passages long, passages string"

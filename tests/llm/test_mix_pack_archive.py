@@ -70,6 +70,17 @@ def test_pivots_keep_expectations(spark):
             assert len(set(taken)) == 2 or len(taken) - len([t for t in taken if t % 1 == 0]) <= 1
 
 
+def test_equal_rows_are_mixed_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL", 7)
+    same = spark.createDataFrame([(1, "w " * 10, "a")] * 200 + [(None, "v " * 5, "a")] * 200 + [(i, "u " * 8, "b") for i in range(10, 60)], "doc_id long, text string, source string")
+    got = mixing.mixed(same).collect()
+    assert len(got) == 450 and sorted(map(tuple, mixing.mixed(same.repartition(6)).collect()), key=str) == sorted(map(tuple, got), key=str)
+    for of in ({1, None}, set(range(10, 60))):
+        mine = [r for r in got if r.doc_id in of]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert {r.taken for r in got if r.doc_id == 1} >= {10, 20}  # equal rows are not all alike
+
+
 def test_mix_on_awkward_rows(spark):
     got = mixing.mixed(awkward(spark)).collect()
     assert len(got) == 8 and all(0 <= r.taken <= 2 * r.size for r in got)
@@ -169,6 +180,16 @@ def test_packing_of_awkward_rows(spark):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 2)
+    texts = [" ".join(f"{i}x{j}" for j in range(40)) for i in range(1500)]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    held = frame.select("doc_id", F.xxhash64("text").alias("salt")).where(packing._unit(1) < 0.1).withColumn("g", F.floor(packing._unit(3) * 5))
+    sizes = [r["count"] for r in held.groupBy("g").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 60
+    check_packing(frame, packing.packed(frame).collect())
+
+
 def test_packing_when_nothing_fits_together(spark):
     frame = docs(spark, [" ".join(f"{i}" for _ in range(2400)) for i in range(10, 50)])  # all just over half a sequence
     padding, tokens = check_packing(frame, packing.packed(frame).collect())
