@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +110,11 @@ def run_increment(spark: SparkSession, config: LakeConfig, sources: dict[str, Da
     return kpis
 
 
+def jdbc_sources(spark: SparkSession, options: dict[str, str], names: Sequence[str] = tuple(ENTITIES), **read: object) -> dict[str, DataFrame]:
+    """The source system's tables for run_increment(), whose windows are then pushed down; see readers.read_jdbc()."""
+    return {name: readers.read_jdbc(spark, ENTITIES[name].source_table, options, **read) for name in names}
+
+
 def export_all(spark: SparkSession, config: LakeConfig, folder: str) -> dict[str, int]:
     """All entities of Silver as CSV below the folder, and how many rows each has."""
     return {name: sinks.export_csv(spark.table(config.table("silver", name)), f"{folder}/{name}", spec) for name, spec in ENTITIES.items()}

@@ -205,6 +205,30 @@ def test_large_extracts_are_refused_where_one_task_would_read_them(spark, lake):
     assert readers.read_csv(spark, path, ENTITIES["orders"].raw_schema, line_breaks=False, largest=10).count() == 3
 
 
+def test_increments_over_jdbc(spark, tmp_path_factory):
+    """The database that comes with Spark stands for the source: windows are pushed down, typed columns go through."""
+    options = {"url": "jdbc:derby:memory:store;create=true", "user": "app", "password": "x", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    config = LakeConfig("b_jdbc", "s_jdbc", "g_jdbc", "c_jdbc", landing=fixtures.write(tmp_path_factory.mktemp("jdbc")))
+    pipeline.run_pipeline(spark, config, RUN)
+    spec = ENTITIES["payments"]
+    text = raw_rows(
+        spark, "payments", ("501", "101", "cash", "approved", "3.60", "2025-02-05 10:00:00", "2025-02-02 12:00:00", "2025-02-05 10:00:00", "false"),
+        ("500", "100", "pse", "rejected", "9.00", "2025-02-01 12:05:00", "2025-02-01 12:00:00", "2025-02-01 12:05:00", "false"),
+    )
+    connection = spark._jvm.java.sql.DriverManager.getConnection(options["url"], "app", "x")
+    connection.createStatement().execute("CREATE SCHEMA \"dbo\"")
+    connection.close()
+    silver.typed(text, spec).write.format("jdbc").options(**options, dbtable='"dbo"."Payments"').mode("append").save()
+    source = readers.read_jdbc(spark, '"dbo"."Payments"', options, "payment_id", (0, 1000), 4)
+    assert source.rdd.getNumPartitions() == 4
+    bounded = source.where(readers.between_watermarks(F.col("updated_at"), datetime(2025, 2, 2), datetime(2025, 3, 1)))
+    assert "GreaterThan(updated_at" in bounded._jdf.queryExecution().executedPlan().toString() and bounded.count() == 1
+    pipeline.run_increment(spark, config, {"payments": source}, RunContext("jdbc-2", datetime(2025, 6, 1, tzinfo=timezone.utc)))
+    got = {r.payment_id: (r.payment_status, r.amount) for r in spark.table(config.table("silver", "payments")).collect()}
+    assert got == {500: ("approved", Decimal("9.00")), 501: ("approved", Decimal("3.60"))}
+    assert set(pipeline.jdbc_sources(spark, options | {"url": "jdbc:derby:memory:store"}, ())) == set()
+
+
 def test_jdbc_reads_may_take_long_but_connect_soon():
     made = readers.jdbc_read_options("t", {"url": "u"}, "id", (1, 9))
     assert made["loginTimeout"] == "60" and "queryTimeout" not in made and made["numPartitions"] == "8"
