@@ -419,12 +419,12 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT)
     a crowd of them is linked in rows of its own number. No member is left out; two members of a large block that are
     near each other but near different pivots are linked by it only if these are connected there.
     Blocks of more than some `hot` rows are split: their rows are dealt by block and a hash, and some members go to
-    every part, by which the parts' crowds meet. Such blocks are told by counting one row in HOT_PART.
+    every part, by which the parts' crowds meet. Such blocks are told by one fingerprint in HOT_PART.
     """
     limit = largest_distance(similarity)
-    keyed = _keyed(nodes, *blocking(nodes.count(), similarity))
-    part = F.pmod(F.xxhash64(*PRINT), F.lit(HOT_PART)) == 0
-    crowded = keyed.where(part).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PART >= hot)
+    cut = blocking(nodes.count(), similarity)
+    keyed, some = _keyed(nodes, *cut), nodes.where(F.pmod(F.xxhash64(*PRINT), F.lit(HOT_PART)) == 0)
+    crowded = _keyed(some, *cut).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PART >= hot)
     crowded = written(crowded.select("key", F.ceil(F.col("n") * HOT_PART / hot).alias("parts")), "crowded")
     rows = keyed
     if not crowded.isEmpty():
