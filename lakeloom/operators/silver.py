@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.config import RunContext
@@ -21,12 +21,12 @@ def typed(raw: DataFrame, spec: EntitySpec) -> DataFrame:
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ("updated_at",)) -> DataFrame:
     """One row per key: the greatest by `by`, ties by all other columns in order.
 
-    A maximum of structs, so rows are combined before the shuffle and a hot key costs one row per task. Null keys are
-    one key, null times come first.
+    The first row of each key, which Spark limits before the shuffle as well: a hot key costs one row per task. Null
+    keys are one key, null times come first.
     """
-    rest = [c for c in df.columns if c not in keys and c not in by]
-    kept = df.groupBy(*keys).agg(F.max(F.struct(*by, *rest)).alias("__row"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    order = [F.desc(c) for c in (*by, *[c for c in df.columns if c not in keys and c not in by])]
+    ranked = df.withColumn("__number", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where("__number = 1").drop("__number")
 
 
 def with_metadata(df: DataFrame, run: RunContext) -> DataFrame:
