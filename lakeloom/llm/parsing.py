@@ -339,8 +339,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     # Ranges are drawn from samples that the driver holds, so they go by numbers alone.
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    made = written(dealt.mapInArrow(run, schema), "parsed")
-    done = made.where("role = 'done'").select("doc_id", *[c.split()[0] for c in RESULT.split(", ")])
+    # Written as bytes, half of what they take in digits.
+    hexed = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    made = written(dealt.mapInArrow(run, schema).withColumns({c: F.unhex(c) for c in hexed}), "parsed")
+    done = made.where("role = 'done'").withColumns({c: F.lower(F.hex(c)) for c in hexed})
+    done = done.select("doc_id", *[c.split()[0] for c in RESULT.split(", ")])
     # One row for each task, of numbers only, goes through the window; the texts are joined afterwards.
     parts = made.where("role = 'first'").select("part")
     ring = Window.orderBy("part")
