@@ -99,7 +99,9 @@ def rendered(turns: DataFrame, chunk: int = 512) -> DataFrame:
 
     A conversation of up to `chunk` turns is one row, chunk 0; longer ones go on in further rows, so that no row has
     to hold an unbounded conversation. Rows that are equal in all four columns are one turn. A null role is rendered
-    as 'unknown', a null text as none. An empty table gives an empty result; other columns are not read.
+    as 'unknown', a null text as none. Null conv_ids are one conversation, null turns come first in theirs. Texts of any
+    length are kept whole and read only to number and to render them. An empty table gives an empty result; other
+    columns are not read, whatever their names.
     """
     body = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
     lines = maximal(turns).select("conv_id", F.floor((F.col("pos") - 1) / chunk).alias("chunk"), "n", "n_copies", F.struct("pos", body.alias("body")).alias("line"))

@@ -328,8 +328,9 @@ def keys_of(pages: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archives pages, indexes the archive and reads every page back by its key: one row per row of pages.
 
-    page_id is cast to long. Repeated rows have records each. An empty table gives an empty result; other columns are
-    not read.
+    page_id is cast to long. Repeated rows have records each; a null url is one of its own, a null html is empty.
+    Payloads of any length are one record, written and read whole in one worker. An empty table gives an empty result;
+    other columns are not read, whatever their names.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
