@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import table, written
 
-#: Turns in one block: positions and hashes are counted within blocks, then the blocks before are added.
+#: Turns in one block at most: hashes go on within blocks, then those of the blocks before are added.
 BLOCK = 128
 SEEDS = (17, 71)
 
@@ -19,18 +19,20 @@ KEY = ["conv_id", "block"]
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """The distinct turns (conv_id, turn, role, text) with block, k (the place in the block, from 1) and d1, d2.
+    """The distinct turns (conv_id, turn, role, text) with number, block, d1 and d2.
 
-    A turn's place goes by (turn, role, text), nulls first. d1 and d2 are hashes of role and text: all that follows up
-    to rendering reads these numbers and leaves the texts where they are written.
+    A turn's place goes by (turn, role, text), nulls first. All turns are dealt by ranges of that order and numbered as
+    they come, and a block holds BLOCK numbers: so a conversation is in several tasks and blocks if it is long, whatever
+    its turns are called. d1 and d2 are hashes of role and text: all that follows up to rendering reads these numbers
+    and leaves the texts where they are written.
     """
-    blocked = turns.select("conv_id", "turn", "role", "text").distinct().withColumn(
-        "block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))
-    )
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("turn", "role", "text"))
+    order = ("conv_id", "turn", "role", "text")
     nulls = F.concat(F.col("role").isNull().cast("int"), F.col("text").isNull().cast("int"))
     marks = {f"d{i}": F.xxhash64(F.lit(seed), "role", "text", nulls) for i, seed in enumerate(SEEDS, 1)}
-    return written(blocked.withColumn("k", place).withColumns(marks), "turns")
+    dealt = turns.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(dealt.withColumn("number", F.monotonically_increasing_id()).withColumns(marks), "turns")
+    # Within a block the numbers of one conversation are in a row, so its least one tells the others' places.
+    return rows.withColumn("block", F.floor(F.col("number") / BLOCK))
 
 
 def _same(left: str = "conv_id") -> Column:
@@ -38,11 +40,11 @@ def _same(left: str = "conv_id") -> Column:
 
 
 def offsets(numbers: DataFrame) -> DataFrame:
-    """(__c, __b, base, n): for each block of a conversation the turns before it, and the turns in all."""
+    """(__c, __b, base, n): for each block of a conversation what a turn's number is above its place, and the turns in all."""
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = numbers.groupBy(*KEY).agg(F.count("*").alias("m"))
+    counts = numbers.groupBy(*KEY).agg(F.count("*").alias("m"), F.min("number").alias("first"))
     return counts.select(
-        F.col("conv_id").alias("__c"), F.col("block").alias("__b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"),
+        F.col("conv_id").alias("__c"), F.col("block").alias("__b"), (F.col("first") - 1 - F.coalesce(F.sum("m").over(before), F.lit(0))).alias("base"),
         F.sum("m").over(Window.partitionBy("conv_id")).alias("n"),
     )
 
@@ -54,7 +56,7 @@ def prefixes(numbers: DataFrame, bases: DataFrame) -> DataFrame:
     block to block without having a whole conversation in one task. Two conversations begin alike as far as their
     hashes agree.
     """
-    placed = numbers.select(*KEY, "k", "d1", "d2").join(bases, _same()).select(*KEY, "n", (F.col("k") + F.col("base")).alias("pos"), "d1", "d2")
+    placed = numbers.select(*KEY, "number", "d1", "d2").join(bases, _same()).select(*KEY, "n", (F.col("number") - F.col("base")).alias("pos"), "d1", "d2")
     for h in ("d1", "d2"):
         placed = placed.withColumn(h, F.xxhash64("pos", h))
     placed = written(placed, "placed")
@@ -90,7 +92,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     stay = full.join(inner, ["n", "h1", "h2"], "left_anti").select(F.col("least.conv_id").alias("__id"), "n_copies")
     kept = written(bases.join(stay, F.col("__c").eqNullSafe(F.col("__id"))).drop("__id"), "maximal")
     return numbers.join(kept, _same()).select(
-        "conv_id", "turn", "role", "text", (F.col("k") + F.col("base")).alias("pos"), "n", "n_copies"
+        "conv_id", "turn", "role", "text", (F.col("number") - F.col("base")).alias("pos"), "n", "n_copies"
     )
 
 

@@ -265,6 +265,42 @@ def test_long_conversations_span_blocks_and_chunks(spark):
     assert [x.split("\n")[1] for x in whole.split("<|end|>\n")[:-1]] == words
 
 
+def brute_chat(rows):
+    """(conv_id, n_turns, n_copies, text) of the conversations that no other one continues."""
+    first = lambda x: (x is not None, x or 0) if not isinstance(x, str) else (True, x)
+    turns: dict = {}
+    for conv, turn, role, text in set(rows):
+        turns.setdefault(conv, []).append((turn, role, text))
+    told: dict = {}
+    for conv, some in turns.items():
+        some.sort(key=lambda t: tuple(first(x) for x in t))
+        told.setdefault(tuple((r, x) for _, r, x in some), []).append(conv)
+    out = []
+    for seq, convs in told.items():
+        if not any(len(o) > len(seq) and o[: len(seq)] == seq for o in told):
+            body = "".join(f"<|{r or 'unknown'}|>\n{x or ''}\n<|end|>\n" for r, x in seq)
+            out.append((min(convs, key=lambda c: (c is None, c or 0)), len(seq), len(convs), body))
+    return sorted(out, key=str)
+
+
+def test_conversations_without_ids_or_turns_match_brute_force(spark, monkeypatch):
+    rnd = random.Random(18)
+    rows = []
+    for conv in range(60):
+        some = [f"x{rnd.randrange(3)}" for _ in range(rnd.randint(1, 6))]
+        rows += [(conv, k, rnd.choice(["user"] * 5 + [None]), t) for k, t in enumerate(some)]
+    rows += [(rnd.choice([None, 100]), rnd.choice([None, None, 3]), rnd.choice(["user", "assistant", None]), f"y{rnd.randrange(400)}") for _ in range(900)]
+    rows += [(101, k, "user", t) for k, t in enumerate(["x0", "x1"])] + rows[:5]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    want = brute_chat(rows)
+    for block in (4, 128):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        got = chat.rendered(frame, chunk=10_000).collect()
+        assert sorted([(r.conv_id, r.n_turns, r.n_copies, r.text) for r in got], key=str) == want
+    numbers = chat.numbered(frame)
+    assert numbers.where("conv_id IS NULL AND turn IS NULL").select("block").distinct().count() > 1
+
+
 def test_very_long_turns_are_kept_whole(spark):
     long = "ünï 🙂 " * 200_000
     rows = conversation(1, ["a", long]) + conversation(2, ["a", long, "b"]) + conversation(3, ["a", long + "x"])
