@@ -13,6 +13,8 @@ from lakeloom.llm.common import table, written
 #: Turns in one block at most: hashes go on within blocks, then those of the blocks before are added.
 BLOCK = 128
 SEEDS = (17, 71)
+#: Characters of a role and of a text by which turns are dealt.
+HEAD = 16
 
 
 KEY = ["conv_id", "block"]
@@ -29,7 +31,11 @@ def numbered(turns: DataFrame) -> DataFrame:
     order = ("conv_id", "turn", "role", "text")
     nulls = F.concat(F.col("role").isNull().cast("int"), F.col("text").isNull().cast("int"))
     marks = {f"d{i}": F.xxhash64(F.lit(seed), "role", "text", nulls) for i, seed in enumerate(SEEDS, 1)}
-    dealt = turns.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    # The driver holds a sample of what the ranges go by, so that is the start of a role and of a text. Past a role that
+    # goes on after it the text's start says nothing about the order.
+    goes_on = F.coalesce(F.length("role") > HEAD, F.lit(False))
+    ranges = ["conv_id", "turn", F.substring("role", 1, HEAD), goes_on, F.when(~goes_on, F.substring("text", 1, HEAD))]
+    dealt = turns.select(*order).distinct().repartitionByRange(*ranges).sortWithinPartitions(*order)
     rows = written(dealt.withColumn("number", F.monotonically_increasing_id()).withColumns(marks), "turns")
     # Within a block the numbers of one conversation are in a row, so its least one tells the others' places.
     return rows.withColumn("block", F.floor(F.col("number") / BLOCK))

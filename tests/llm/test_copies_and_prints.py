@@ -293,8 +293,12 @@ def test_conversations_without_ids_or_turns_match_brute_force(spark, monkeypatch
     rows += [(101, k, "user", t) for k, t in enumerate(["x0", "x1"])] + rows[:5]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
     want = brute_chat(rows)
-    for block in (4, 128):
+    rows += [(None, None, rnd.choice(["users", "user", "usurer", "us"]), f"{rnd.choice('ab')}{rnd.randrange(400)}") for _ in range(300)]  # the head cuts roles
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    want = brute_chat(rows)
+    for block, head in ((4, 2), (128, 2), (128, 16)):
         monkeypatch.setattr(chat, "BLOCK", block)
+        monkeypatch.setattr(chat, "HEAD", head)
         got = chat.rendered(frame, chunk=10_000).collect()
         assert sorted([(r.conv_id, r.n_turns, r.n_copies, r.text) for r in got], key=str) == want
     numbers = chat.numbered(frame)
