@@ -157,11 +157,14 @@ BITS = 64 * LANES
 #: Words of a shingle, similarity from which two texts are copies, and the share of such pairs, where they are just as
 #: alike, that must meet in some block.
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
-#: Members of a large block that all others are compared with.
+#: Blocks of up to one member more give all their pairs, one lag after another; stars that gather next to nothing, one
+#: after another, until a larger block's rest is compared pair by pair.
 PIVOTS = 8
+#: Members that are compared at once with as many others.
+TILE = 256
 #: Rows of a block from which it is split, about, and one in how many rows is counted to tell.
-HOT, HOT_PART = 1 << 20, 64
-#: Rows that wait in a worker for their block to be complete, and rows in a batch.
+HOT, HOT_PART = 1 << 18, 64
+#: Rows that wait in a worker until complete blocks among them are linked, and rows in a batch.
 MANY, NUMBERS = 1 << 17, 1 << 13
 #: Bytes of text that are hashed at once.
 STRETCH = 1 << 20
@@ -339,30 +342,80 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def crowd_links(prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links between the members of one large block that connect what its pivots connect, in rows of its own number.
+class _Forest:
+    """Links between members 0 to n - 1, of which only those are kept that join two groups."""
+
+    def __init__(self, n: int):
+        self.parent, self.u, self.v = np.arange(n), [], []
+
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        found = self.parent[members]
+        while True:
+            above = self.parent[found]
+            if (above == found).all():
+                break
+            found = above
+        self.parent[members] = found
+        return found
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        while True:
+            a, b = self.roots(u), self.roots(v)
+            new = a != b
+            if not new.any():
+                return
+            u, v, a, b = u[new], v[new], a[new], b[new]
+            upper, first = np.unique(np.maximum(a, b), return_index=True)  # each group goes below one lesser
+            self.parent[upper] = np.minimum(a, b)[first]
+            self.u.append(u[first])
+            self.v.append(v[first])
+
+
+def _join_near(forest: _Forest, prints: np.ndarray, u: np.ndarray, v: np.ndarray, limit: int) -> None:
+    """Joins each of u with each of v that it is near; both are few, TILE or so."""
+    apart = np.zeros((len(u), len(v)), np.uint16)
+    for k in range(LANES):
+        apart += np.bitwise_count(prints[u, k][:, None] ^ prints[v, k])
+    i, j = np.nonzero(apart <= limit)
+    forest.join(u[i], v[j])
+
 
-    All members are compared with PIVOTS of them; those that are near none with others, four times as many, and so on
-    until few enough are left to be compared with each other. A member is linked to one pivot that it is near, and two
-    pivots that are near a common member are both linked to it.
+def crowd_links(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places u, v) between members of one block that connect exactly those that near pairs connect, less than
+    one for each member.
+
+    Crowds first: a member is compared with all that are left, and those near it are its star, which leaves. As
+    distances obey the triangle inequality, a member of the star can only be near others whose distance to the star's
+    centre is its own and the limit at most; it is compared with all of these that the star isn't linked with yet.
+    Once stars gather next to nothing, all that are left are compared pair by pair. So each pair is compared, is too far
+    apart by the triangle inequality, or is connected already.
     """
-    out: list[tuple[int, int]] = []
-    left, pivots = np.arange(len(prints)), PIVOTS
-    while len(left) > PIVOTS:
-        chosen = left[:pivots]
-        near = np.stack([_apart(prints[left], prints[c]) <= limit for c in chosen], axis=1)
-        some = np.flatnonzero(near.any(axis=1))
-        out += zip(chosen[near[some].argmax(axis=1)].tolist(), left[some].tolist(), strict=True)
-        met = near[some]
-        for i in range(len(chosen)):
-            for j in np.flatnonzero(met[met[:, i]].any(axis=0)).tolist():
-                if j > i:
-                    member = int(left[some[np.flatnonzero(met[:, i] & met[:, j])[0]]])
-                    out += [(int(chosen[i]), member), (int(chosen[j]), member)]
-        left, pivots = left[~near.any(axis=1)], min(4 * pivots, 512)  # a pivot is near itself
-    for k, i in enumerate(left.tolist()):
-        out += [(i, j) for j in left[k + 1 :][_apart(prints[left[k + 1 :]], prints[i]) <= limit].tolist()]
-    return [(i, j) for i, j in out if i != j]
+    forest = _Forest(len(prints))
+    left, step, misses = np.arange(len(prints)), 0, 0
+    while len(left) > 4 * PIVOTS and misses < max(PIVOTS, len(left) // 64):
+        step += 1
+        centre = left[(step * ODD >> 20) % len(left)]
+        far = _apart(prints[left], prints[centre])
+        inside = far <= limit
+        star, radius = left[inside], far[inside]
+        left, far = left[~inside], far[~inside]
+        forest.join(np.full(len(star), centre), star)
+        misses = misses + 1 if len(star) < 4 else 0
+        order = np.argsort(-radius, kind="stable")  # the widest ones first: those after them have fewer to meet
+        star, radius = star[order], radius[order]
+        others, far = left[far <= radius[0] + limit], far[far <= radius[0] + limit]
+        for at in range(0, len(star), TILE):
+            some = (far <= radius[at] + limit) & (forest.roots(others) != forest.roots(star[:1]))
+            others, far = others[some], far[some]
+            if not len(others):
+                break
+            for k in range(0, len(others), TILE):
+                _join_near(forest, prints, star[at : at + TILE], others[k : k + TILE], limit)
+    for at in range(0, len(left), TILE):
+        for k in range(at, len(left), TILE):
+            _join_near(forest, prints, left[at : at + TILE], left[k : k + TILE], limit)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(forest.u or none), np.concatenate(forest.v or none)
 
 
 def block_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,66 +430,60 @@ def block_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.nd
         us.append(u)
         vs.append(u + lag)
     for start, size in zip(starts[sizes > PIVOTS + 1].tolist(), sizes[sizes > PIVOTS + 1].tolist(), strict=True):
-        if links := crowd_links(prints[start : start + size], limit):
-            u, v = np.array(links, np.int64).T + start
-            us.append(u)
-            vs.append(v)
+        u, v = crowd_links(prints[start : start + size], limit)
+        us.append(u + start)
+        vs.append(v + start)
     return np.concatenate(us), np.concatenate(vs)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) of rows (key, PRINT) that come sorted by key. Rows wait until their block is complete, MANY at most:
-    of a larger block the first ones stay as pivots for the next."""
+    """Links (u, v) of rows (key, PRINT) that come sorted by key. Rows wait until there are more than MANY and a block
+    among them is complete; a larger block is held whole, near_links() splits those of more than some HOT rows."""
     held_keys, held, size = [], [], 0
 
     def settled(last: bool) -> pa.RecordBatch:
         nonlocal held_keys, held, size
         keys, prints = np.concatenate(held_keys), np.concatenate(held)
         open_ = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-        kept = keys[open_:], prints[open_:]
-        if not open_ and not last:  # one block that is larger than MANY
-            open_, kept = len(keys), (keys[:PIVOTS], prints[:PIVOTS])
         u, v = block_links(keys[:open_], prints[:open_], limit)
-        held_keys, held, size = [kept[0]], [kept[1]], len(kept[0])
+        held_keys, held, size = [keys[open_:]], [prints[open_:]], len(keys) - open_
         names = _name(prints)
         return pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[v], pa.int64())], ["u", "v"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held_keys.append(batch.column(0).to_numpy(zero_copy_only=False))
         held.append(_prints_of(batch, 1))
         size += batch.num_rows
-        if size > MANY:
+        if size > MANY and held_keys[0][0] != held_keys[-1][-1]:
             yield settled(False)
     if size:
         yield settled(True)
 
 
 def near_links(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """Links (u, v) between fingerprints of nodes (PRINT), by _name(), that share a block and differ in few enough bits.
-
-    Rows are dealt by block once, and each block's are read in a stream. Pairs of small blocks are all verified; in a
-    larger one members are compared with pivots, see crowd_links(): copies of one text are near some pivot of theirs, so
-    a crowd of them is linked in rows of its own number. No member is left out; two members of a large block that are
-    near each other but near different pivots are linked by it only if these are connected there.
-    Blocks of more than some `hot` rows are split: their rows are dealt by block and a hash, and some members go to
-    every part, by which the parts' crowds meet. Such blocks are told by one fingerprint in HOT_PART.
+    """Links (u, v) between fingerprints of nodes (PRINT), by _name(): they connect exactly what pairs connect that share
+    a block and differ in few enough bits.
+
+    Rows are dealt by block once, and each block's are read in a stream. Pairs of small blocks are all verified; a larger
+    one gives links in rows of its own number, see crowd_links(), which leaves no near pair unconnected.
+    A block of more than some `hot` rows is dealt into parts, and each two of them meet in a task, which holds about
+    `hot` rows: its rows repeat as often as there are other parts, so that any two of them meet. Such blocks are told
+    by one fingerprint in HOT_PART.
     """
     limit = largest_distance(similarity)
     cut = blocking(nodes.count(), similarity)
     keyed, some = _keyed(nodes, *cut), nodes.where(F.pmod(F.xxhash64(*PRINT), F.lit(HOT_PART)) == 0)
     crowded = _keyed(some, *cut).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PART >= hot)
-    crowded = written(crowded.select("key", F.ceil(F.col("n") * HOT_PART / hot).alias("parts")), "crowded")
+    parts = F.greatest(F.lit(2).cast("long"), F.ceil(2 * F.col("n") * HOT_PART / hot))
+    crowded = written(crowded.select("key", parts.alias("parts")), "crowded")
     rows = keyed
     if not crowded.isEmpty():
-        mine = keyed.join(crowded, "key")
-        # Members that go to all parts, so that these meet: the least of some orders, combined before the shuffle.
-        salts = [(ODD * (i + 1)) % (1 << 62) for i in range(PIVOTS)]
-        least = mine.groupBy("key", "parts").agg(F.array_distinct(F.array(*[F.min(F.col("f0").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in salts])).alias("p"))
-        chosen = mine.join(least.select("key", F.explode("p").alias("p")), "key").where("f0 = p").select("key", "parts", *PRINT).distinct()
-        # Both get keys of the parts' own; if one should equal another block's, more pairs are verified.
-        dealt = mine.withColumn("part", F.pmod(F.xxhash64("f1", "key"), F.col("parts")))
-        pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        split = dealt.unionByName(pivots).select(F.xxhash64("key", "part").alias("key"), *PRINT)
+        dealt = keyed.join(crowded, "key").withColumn("part", F.pmod(F.xxhash64("key", *PRINT), F.col("parts")))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+        # Two parts get a key of their own; if it should equal another block's, more pairs are verified.
+        split = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), *PRINT)
         rows = keyed.join(crowded.select("key"), "key", "left_anti").select("key", *PRINT).unionByName(split)
     run = lambda batches: _linked(batches, limit)
     spark = nodes.sparkSession

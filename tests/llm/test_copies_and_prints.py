@@ -214,6 +214,79 @@ def test_blocks_that_arrive_in_pieces_give_the_same_links(monkeypatch):
     assert pairs([whole.slice(k, 7) for k in range(0, len(keys), 7)]) == want and pairs([]) == set()
 
 
+def chain(rng, n, step, free=range(256)):
+    """Long fingerprints of which each differs from the one before in `step` of the free bits, in a shuffled order."""
+    bits = rng.integers(0, 2, 256, np.uint8)
+    out = []
+    for _ in range(n):
+        out.append(np.packbits(bits, bitorder="little").view(np.uint64))
+        bits[rng.choice(free, step, replace=False)] ^= 1
+    return rng.permutation(np.array(out))
+
+
+def groups_of(n, pairs):
+    """Of each member the least one that it is linked with."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def near_pairs(prints, limit):
+    return [(i, j) for i in range(len(prints)) for j in range(i) if simhash._apart(prints[i], prints[j]) <= limit]
+
+
+@pytest.mark.parametrize(("sizes", "step"), [([12, 20], 40), ([700], 40), ([300] * 3, 6), ([1] * 400, 1), ([3] * 200, 45), ([600, 90, *[1] * 60], 3)])
+def test_members_of_large_blocks_far_from_each_others_pivots_are_linked(sizes, step, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    prints = rng.permutation(np.concatenate([chain(rng, n, step) for n in sizes]))
+    keys = np.zeros(len(prints), np.int64)
+    near = near_pairs(prints, 50)
+    want = groups_of(len(prints), near)
+    u, v = simhash.block_links(keys, prints, 50)
+    assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist())} <= set(near)
+    assert groups_of(len(prints), zip(u.tolist(), v.tolist())) == want
+    assert len(u) < len(prints)
+    monkeypatch.setattr(simhash, "TILE", 7)
+    u, v = simhash.block_links(keys, prints, 50)
+    assert groups_of(len(prints), zip(u.tolist(), v.tolist())) == want
+    # As rows between two other blocks, by batches, of which some are empty.
+    monkeypatch.setattr(simhash, "MANY", 10)
+    around = np.concatenate([prints[:3], prints, prints[:4]])
+    whole = pa.RecordBatch.from_arrays([pa.array(np.repeat([-1, 0, 1], [3, len(prints), 4])), *[pa.array(around[:, k].view(np.int64)) for k in range(simhash.LANES)]], ["key", *simhash.PRINT])
+    place = {name: i for i, name in enumerate(simhash._name(prints).tolist())}
+    batches = [whole.slice(k, n) for k in range(0, len(around), 7) for n in (7, 0)]
+    got = [(place[a], place[b]) for out in simhash._linked(iter(batches), 50) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert groups_of(len(prints), got) == want
+
+
+def test_links_of_whole_and_split_blocks_connect_what_all_pairs_do(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cuts = simhash._cuts(*simhash.blocking(260, simhash.SIMILARITY))
+    limit = simhash.largest_distance(simhash.SIMILARITY)
+    shared = np.setdiff1d(np.arange(256), cuts[0])  # a chain's members share the first block
+    prints = rng.permutation(np.concatenate([chain(rng, n, step, shared) for n, step in ((150, 44), (60, 25), (50, 50))]))
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    want = groups_of(len(prints), [(i, j) for i, j in near_pairs(prints, limit) if any((bits[i][c] == bits[j][c]).all() for c in cuts)])
+    names = simhash._name(prints).tolist()
+    nodes = spark.createDataFrame([tuple(map(int, p)) for p in prints.view(np.int64)], "f0 long, f1 long, f2 long, f3 long").repartition(5)
+    monkeypatch.setattr(simhash, "HOT_PART", 1)
+    for hot, many in ((1 << 20, 1 << 20), (1 << 20, 20), (140, 1 << 20), (40, 20)):
+        monkeypatch.setattr(simhash, "MANY", many)
+        roots = {r.node: r.root for r in components.connected(simhash.near_links(nodes, hot=hot)).collect()}
+        of = [roots.get(n, n) for n in names]
+        assert [of.index(r) for r in of] == want, (hot, many)
+
+
 def test_rows_of_one_id_are_documents_of_their_own(spark):
     rnd = random.Random(15)
     a, b, c = (" ".join(f"{x}{rnd.randrange(999)}" for _ in range(60)) for x in "abc")
